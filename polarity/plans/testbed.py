@@ -86,3 +86,72 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCES_SQL = ("SELECT source AS id, CASE CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 3 "
                "WHEN 0 THEN 'news' WHEN 1 THEN 'np-news' ELSE 'blog' END AS type "
                "FROM (SELECT DISTINCT source FROM documents)")
+
+
+# ---------------------------------------------------------------- word tables derived by rule
+
+def _lemma(form: Column) -> Column:
+    low = F.lower(form)
+    return F.when((F.length(form) > 3) & low.endswith("s"),
+                  F.expr("substring(lower(form), 1, length(form) - 1)")).otherwise(low)
+
+
+def _pos(form: Column) -> Column:
+    low = F.lower(form)
+    return (F.when(F.length(form) <= 3, F.lit("FUNC"))
+            .when(low.endswith("ment") | low.endswith("ly"), F.lit("ADV"))
+            .otherwise(F.lit("NOUN")))
+
+
+LEMMA_SQL = ("CASE WHEN length(form) > 3 AND suffix(lower(form), 's') "
+             "THEN substring(lower(form), 1, length(form) - 1) ELSE lower(form) END")
+POS_SQL = ("CASE WHEN length(form) <= 3 THEN 'FUNC' WHEN suffix(lower(form), 'ment') "
+           "OR suffix(lower(form), 'ly') THEN 'ADV' ELSE 'NOUN' END")
+
+
+def lemma_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form, lemma, pos) for every word form of the documents: lemma = lower case without a
+    final 's' (forms longer than 3), pos = FUNC (<= 3 letters), ADV (-ment, -ly), else NOUN."""
+    from polarity.functions.text import words
+    docs = table(spark, sf_dir, "documents")
+    forms = docs.select(F.explode(words("text", LETTER_WORD)).alias("form")).distinct()
+    return forms.select("form", _lemma(F.col("form")).alias("lemma"), _pos(F.col("form")).alias("pos"))
+
+
+def lemma_dict_sql() -> str:
+    return (f"SELECT form, {LEMMA_SQL} AS lemma, {POS_SQL} AS pos FROM (SELECT DISTINCT "
+            f"unnest(regexp_extract_all(text, '({LETTER_WORD})', 1)) AS form FROM documents)")
+
+
+def texts_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(guid, temote): labelled documents already carry their label as score, others null."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labs = table(spark, sf_dir, "labels").select("doc_id", emotion().alias("temote"))
+    return docs.join(labs, "doc_id", "left").select(F.col("doc_id").cast("string").alias("guid"),
+                                                    "temote")
+
+
+TEXTS_WITH_SCORES_SQL = (f"SELECT CAST(d.doc_id AS VARCHAR) AS guid, {EMOTION_SQL} AS temote "
+                         f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+
+
+def new_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(guid, seq, label): click events as a stream of scores; doc = event_id mod #documents,
+    seq = ts, label = floor(value) mod 5 - 2."""
+    n = table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "click")
+    return ev.select((F.col("event_id") % n).cast("string").alias("guid"), F.col("ts").alias("seq"),
+                     ((F.floor("value").cast("bigint") % 5) - 2).cast("int").alias("label"))
+
+
+NEW_SCORES_SQL = ("SELECT CAST(event_id % (SELECT count(*) FROM documents) AS VARCHAR) AS guid, ts AS seq, "
+                  "CAST(CAST(floor(value) AS BIGINT) % 5 - 2 AS INTEGER) AS label "
+                  "FROM events WHERE event_type = 'click'")
+
+
+def predictions(df: DataFrame, key: str = "n_chars") -> Column:
+    """A deterministic stand-in prediction in -2..2 for metric queries: n_chars mod 5 - 2."""
+    return ((F.col(key) % 5) - 2).cast("int")
+
+
+PREDICTION_SQL = "CAST(n_chars % 5 - 2 AS INTEGER)"
