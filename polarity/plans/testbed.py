@@ -52,13 +52,16 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The news table: guid, text_id, date, myemote (human label, nullable), temote (machine
     label, null = unscored), title (first line), text, source_id, category.
 
-    date = ts of the event whose id equals the document id.
+    date = ts of event doc_id * floor(#events / #documents), which spreads the texts over the
+    whole event period.
     """
     docs = table(spark, sf_dir, "documents")
+    ev_all = table(spark, sf_dir, "events")
+    k = F.floor(ev_all.select(F.count(F.lit(1))).scalar() / docs.select(F.count(F.lit(1))).scalar())
+    docs = docs.withColumn("_ek", F.col("doc_id") * k)
     labs = table(spark, sf_dir, "labels").select("doc_id", emotion().alias("myemote"))
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"),
-                                                F.col("ts").alias("date"))
-    return (docs.join(labs, "doc_id", "left").join(ev, "doc_id", "left")
+    ev = ev_all.select(F.col("event_id").alias("_ek"), F.col("ts").alias("date"))
+    return (docs.join(labs, "doc_id", "left").join(ev, "_ek", "left")
             .select(F.col("doc_id").cast("string").alias("guid"),
                     F.col("doc_id").alias("text_id"), "date", "myemote",
                     F.lit(None).cast("int").alias("temote"),
@@ -70,7 +73,8 @@ NEWS_SQL = (f"SELECT CAST(d.doc_id AS VARCHAR) AS guid, d.doc_id AS text_id, e.t
             f"{EMOTION_SQL} AS myemote, CAST(NULL AS INTEGER) AS temote, "
             f"split_part(d.text, chr(10), 1) AS title, d.text, d.source AS source_id, "
             f"d.lang AS category FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id "
-            f"LEFT JOIN events e ON e.event_id = d.doc_id")
+            f"LEFT JOIN events e ON e.event_id = d.doc_id * "
+            f"CAST(floor((SELECT count(*) FROM events) / (SELECT count(*) FROM documents)) AS BIGINT)")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
