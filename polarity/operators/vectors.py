@@ -126,13 +126,13 @@ def parse_vector_lines(lines: DataFrame, keyed: bool = False) -> DataFrame:
         strict_number(F.split(x, ":", 2)[1], "double").alias("v"),
         F.split(x, ":", 2)[0].alias("it")))
     df = df.select("line_no", head.alias("head"), pairs.alias("_p"))
-    idx = F.col("_p.i")
-    val = F.col("_p.v")
+    # idx / val as their own columns: lambdas below must not re-extract them per element
+    df = df.select("line_no", "head", "_p", F.col("_p.i").alias("idx"), F.col("_p.v").alias("val"))
     bad_idx = F.exists("_p", lambda p: p["i"].isNull())
     bad_val = F.exists("_p", lambda p: p["v"].isNull())
-    not_inc = F.exists(F.sequence(F.lit(2), F.greatest(F.size("_p"), F.lit(1))),
-                       lambda k: F.element_at(idx, k) <= F.element_at(idx, k - 1))
-    not_inc = F.when(F.size("_p") >= 2, not_inc).otherwise(F.lit(False))
+    nxt = F.slice("idx", 2, F.greatest(F.size("idx") - 1, F.lit(0)))
+    not_inc = F.exists(F.zip_with(nxt, "idx", lambda b, a: b <= a), lambda x: x)
+    not_inc = F.when(F.size("idx") >= 2, not_inc).otherwise(F.lit(False))
     if keyed:
         key = F.split("head", ":", 2)[0]
         cnt = F.split("head", ":", 2)[1]
@@ -146,7 +146,7 @@ def parse_vector_lines(lines: DataFrame, keyed: bool = False) -> DataFrame:
            .when(bad_idx, F.lit("index is not an integer"))
            .when(bad_val, F.lit("value is not a number"))
            .when(not_inc, F.lit("indexes do not increase")))
-    return df.select("line_no", *out_head, idx.alias("idx"), val.alias("val"), err.alias("error"))
+    return df.select("line_no", *out_head, "idx", "val", err.alias("error"))
 
 
 def vector_stats(vectors: DataFrame) -> DataFrame:
