@@ -98,8 +98,8 @@ def labelled_lines(vectors: DataFrame, label: str = "target", sep: str = "\t") -
     """K4: ``label<sep>idx:val<sep>idx:val`` per text (libsvm layout)."""
     pairs = F.transform(F.arrays_zip("idx", "val"),
                         lambda e: F.concat(e["idx"].cast("string"), F.lit(":"), _fmt(e["val"])))
-    return vectors.select(F.concat_ws(sep, F.col(label).cast("string"), F.array_join(pairs, sep))
-                          .alias("value"))
+    body = F.when(F.size("idx") > 0, F.array_join(pairs, sep))   # no trailing separator
+    return vectors.select(F.concat_ws(sep, F.col(label).cast("string"), body).alias("value"))
 
 
 def keyed_lines(vectors: DataFrame, key: str = "guid") -> DataFrame:
@@ -107,7 +107,8 @@ def keyed_lines(vectors: DataFrame, key: str = "guid") -> DataFrame:
     pairs = F.transform(F.arrays_zip("idx", "val"),
                         lambda e: F.concat(e["idx"].cast("string"), F.lit(":"), _fmt(e["val"])))
     head = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("n_terms").cast("string"))
-    return vectors.select(F.concat_ws("\t", head, F.array_join(pairs, "\t")).alias("value"))
+    body = F.when(F.size("idx") > 0, F.array_join(pairs, "\t"))
+    return vectors.select(F.concat_ws("\t", head, body).alias("value"))
 
 
 def parse_vector_lines(lines: DataFrame, keyed: bool = False) -> DataFrame:
