@@ -28,12 +28,12 @@ def terms(texts: DataFrame, key: str = "doc_id", text_col: str = "text",
           settings: Settings = Settings(), carry=()) -> DataFrame:
     """(key, *carry, ngram, c): how often each n-gram occurs in each text.
 
-    All n-grams of a text are generated inside the task that holds the text, so the partial
-    aggregation collapses them before the shuffle; if the texts are already hash partitioned by
-    ``key`` (e.g. after a shuffle join on it) no shuffle is needed at all.  ``carry`` columns
-    must be functionally dependent on ``key``.
+    The texts (small next to their n-grams) are hash-partitioned by ``key`` first; the per-text
+    aggregation then needs no exchange of its own, so the only terms-sized shuffle left in a
+    dictionary or vector plan is the one on the n-gram.  ``carry`` columns must be
+    functionally dependent on ``key``.
     """
-    g = exploded_ngrams(texts, key, text_col, settings, carry)
+    g = exploded_ngrams(texts.repartition(key), key, text_col, settings, carry)
     return g.groupBy(key, *carry, "ngram").agg(F.count(F.lit(1)).alias("c"))
 
 

@@ -17,7 +17,7 @@ def lemmatise(df: DataFrame, lemma_dict: DataFrame, key: str = "doc_id", text_co
     position), then regrouped per text in position order.  The partial collect runs in the task
     that holds the text, so the shuffle carries one row per text.  Texts without words get ''.
     """
-    w = df.select(key, F.posexplode(words(text_col, pattern)).alias("pos", "form"))
+    w = df.repartition(key).select(key, F.posexplode(words(text_col, pattern)).alias("pos", "form"))
     d = lemma_dict.select("form", "lemma")
     j = w.join(d, "form", "left").select(key, "pos", F.coalesce("lemma", "form").alias("lemma"))
     g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))

@@ -21,7 +21,7 @@ def trend_words(news: DataFrame, category: str, with_title: bool = True, with_te
     """(word, n, n_texts) of one category: occurrences and texts containing the word.
     Two plain aggregations (per text, then per word), no distinct-count expansion."""
     c = scan_category(news, category, with_title=with_title, with_text=with_text)
-    w = c.select(key, F.explode(words("content", pattern)).alias("word"))
+    w = c.repartition(key).select(key, F.explode(words("content", pattern)).alias("word"))
     per_text = w.groupBy(key, "word").agg(F.count(F.lit(1)).alias("c"))
     return per_text.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_texts"))
 
