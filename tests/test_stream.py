@@ -60,3 +60,16 @@ def test_stream_equals_batch(spark, tmp):
                                          F.split("value", "\t").getItem(1).alias("text"))
     batch = {r["guid"]: r["label"] for r in predict(model, score_space(texts, d, s), "guid").collect()}
     assert all(batch[k] == v for k, v in streamed.items())
+
+
+def test_replayed_batch_written_once(spark, tmp):
+    from polarity.streaming.stream import score_batch
+    s = Settings(ngram_size=2, n_classes=2)
+    corpus = spark.createDataFrame([(0, "хороший день", 1), (1, "плохой день", -1)], "doc_id long, text string, emotion int")
+    d = build_dictionary(corpus, s)
+    model = train_svm(vector_space(corpus, d, s), 10, s)
+    batch = spark.createDataFrame([("a", "хороший день"), ("a", "хороший день"), ("b", "плохой")], "id string, text string")
+    out = os.path.join(tmp, "scores")
+    score_batch(batch, 3, model, d, s, out)
+    score_batch(batch, 3, model, d, s, out)  # replay after a failure
+    assert spark.read.parquet(out).count() == 2
