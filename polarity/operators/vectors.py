@@ -22,11 +22,12 @@ def lookup_terms(term_df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """J3 + F12: keep the n-grams found in the dictionary and attach (id, idf).
 
     One equi-join on the n-gram for all texts.  Terms are pre-aggregated per text, so a very
-    frequent n-gram has at most one row per text; AQE picks broadcast vs. sort-merge from the
-    measured dictionary size and splits skewed n-gram partitions.
+    frequent n-gram has at most one row per text; AQE splits skewed n-gram partitions.  The
+    dictionary is the build side of a shuffled hash join: each partition holds V / P entries,
+    and neither side is sorted (a sort-merge join would sort every term row).
     """
     d = dictionary.select(F.col("n_gramm").alias("ngram"), F.col("n_gramm_id").alias("id"), "idf")
-    return term_df.join(d, "ngram")
+    return term_df.join(d.hint("shuffle_hash"), "ngram")
 
 
 def _weights(arr: Column, m: Column, d: Column, settings: Settings) -> Column:
@@ -41,27 +42,35 @@ def _weights(arr: Column, m: Column, d: Column, settings: Settings) -> Column:
     return F.transform(arr, w)
 
 
-def collect_vectors(matched: DataFrame, key: str, settings: Settings) -> DataFrame:
+def collect_vectors(matched: DataFrame, key: str, settings: Settings, keys: DataFrame | None = None) -> DataFrame:
     """O2 + A4 + A5 + V3 + V4: one row per text with idx (ascending) and weight arrays.
 
     A text's terms are bounded by its own length, so collecting them per key is bounded.
     m (distinct matched n-grams) and d = sqrt(sum idf^2) come out of the same aggregation.
+    ``keys`` (one row per text, extra columns allowed) are unioned into the same aggregation so
+    texts without any known n-gram keep a row, without a join back to the texts.
     """
-    g = matched.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("id", "c", "idf"))).alias("_t"),
-        F.count(F.lit(1)).cast("int").alias("n_terms"),
-        F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    cols = [c for c in (keys.columns if keys is not None else [key])]
+    m = matched.select(*cols, "id", "c", "idf")
+    if keys is not None:
+        m = m.unionByName(keys.select(*cols, F.lit(None).cast("bigint").alias("id"),
+                                      F.lit(None).cast("bigint").alias("c"),
+                                      F.lit(None).cast("double").alias("idf")))
+    term = F.when(F.col("id").isNotNull(), F.struct("id", "c", "idf"))
+    g = m.groupBy(*cols).agg(
+        F.sort_array(F.collect_list(term)).alias("_t"),
+        F.count("id").cast("int").alias("n_terms"),
+        F.coalesce(F.sqrt(F.sum(F.col("idf") * F.col("idf"))), F.lit(0.0)).alias("norm"))
     vals = _weights(F.col("_t"), F.col("n_terms"), F.col("norm"), settings)
-    return g.select(key, "n_terms", "norm", F.col("_t.id").alias("idx"), vals.alias("val"))
+    return g.select(*cols, "n_terms", "norm", F.col("_t.id").alias("idx"), vals.alias("val"))
 
 
 def vector_space(corpus: DataFrame, dictionary: DataFrame, settings: Settings = Settings(),
                  key: str = "doc_id", text_col: str = "text", label: str = "emotion") -> DataFrame:
     """M1: (key, target, n_terms, norm, idx, val) for every corpus text; empty texts get no terms."""
-    t = terms(corpus, key, text_col, settings)
-    vec = collect_vectors(lookup_terms(t, dictionary), key, settings)
-    base = corpus.select(key, target(label, settings.n_classes).alias("target"))
-    return _with_empty(base.join(vec, key, "left"))
+    base = corpus.select(key, text_col, target(label, settings.n_classes).alias("target"))
+    t = terms(base, key, text_col, settings, carry=("target",))
+    return collect_vectors(lookup_terms(t, dictionary), key, settings, keys=base.select(key, "target"))
 
 
 def score_space(texts: DataFrame, dictionary: DataFrame, settings: Settings = Settings(),
@@ -69,15 +78,7 @@ def score_space(texts: DataFrame, dictionary: DataFrame, settings: Settings = Se
     """M2: (key, n_terms, norm, idx, val) for texts to score; texts with no known n-gram keep
     a row with 0 terms (they are scored 0)."""
     t = terms(texts, key, text_col, settings)
-    vec = collect_vectors(lookup_terms(t, dictionary), key, settings)
-    return _with_empty(texts.select(key).join(vec, key, "left"))
-
-
-def _with_empty(df: DataFrame) -> DataFrame:
-    return (df.withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
-            .withColumn("norm", F.coalesce("norm", F.lit(0.0)))
-            .withColumn("idx", F.coalesce("idx", F.array().cast("array<bigint>")))
-            .withColumn("val", F.coalesce("val", F.array().cast("array<double>"))))
+    return collect_vectors(lookup_terms(t, dictionary), key, settings, keys=texts.select(key))
 
 
 def explode_vectors(vectors: DataFrame, key: str, extra=()) -> DataFrame:
