@@ -73,3 +73,21 @@ def test_replayed_batch_written_once(spark, tmp):
     score_batch(batch, 3, model, d, s, out)
     score_batch(batch, 3, model, d, s, out)  # replay after a failure
     assert spark.read.parquet(out).count() == 2
+
+
+def test_timeout_flushes_tail(spark, tmp):
+    import time
+    src = _messages(tmp, 250, "in_to")
+    q = (batch_by_count(read_messages(spark, "text", src), threshold=100, shards=1, timeout_ms=500)
+         .writeStream.format("memory").queryName("batches_to")
+         .option("checkpointLocation", os.path.join(tmp, "ck_to")).trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline:
+            if spark.sql("SELECT count(*) FROM batches_to").first()[0] >= 250:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    rows = spark.sql("SELECT batch_no, count(*) AS n FROM batches_to GROUP BY batch_no ORDER BY batch_no").collect()
+    assert [(r["batch_no"], r["n"]) for r in rows] == [(0, 100), (1, 100), (2, 50)]
