@@ -138,3 +138,11 @@ def test_writeback(spark):
     assert {r["guid"]: r["temote"] for r in once.collect()} == {"a": -1, "b": 0, "c": 1}
     twice = upsert_scores(once, scores)
     assert sorted(twice.collect()) == sorted(once.collect())
+
+
+def test_vectors_l2_norm(spark):
+    """norm='l2' divides by the text's norm instead of multiplying (quirk 2, option)."""
+    v = _weights(spark, Settings(ngram_size=2, norm="l2"))
+    d = 1.902852
+    assert v[1][2]["рад"] == pytest.approx(1.098612 * 2 / 4 / d, abs=1e-6)
+    assert v[3][2] == {"день": 0}
