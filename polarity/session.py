@@ -19,6 +19,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():
