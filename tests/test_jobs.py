@@ -38,8 +38,8 @@ def test_corpus_ids_continue(spark, built):
     early_max = corpus.where(F.col("date") < F.lit("2024-01-15").cast("timestamp_ntz")).agg(F.max("corpus_id")).first()[0]
     late_min = corpus.where(F.col("date") >= F.lit("2024-01-15").cast("timestamp_ntz")).agg(F.min("corpus_id")).first()[0]
     assert late_min == early_max + 1
-    row = corpus.where(F.col("mystem_text") != "").first()
-    assert row["mystem_text"] == row["mystem_text"].lower()
+    row = corpus.where(F.col("lemma_text") != "").first()
+    assert row["lemma_text"] == row["lemma_text"].lower()
 
 
 def test_dictionary_written(spark, built):
