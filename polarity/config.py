@@ -35,6 +35,7 @@ class Settings:
     kernel_dim: int = 256        # size of the random feature map for RBF / POLY
     seed: int = 7
     batch_size: int = SCORING_BATCH
+    multiclass: str = "ovr"      # ovr: one model per class; ovo: one per pair, votes (libsvm's rule)
 
     def __post_init__(self):
         if self.norm not in ("scale", "l2"):
@@ -45,5 +46,7 @@ class Settings:
             raise ValueError("only C_SVC is supported")
         if self.ngram_size < 1:
             raise ValueError("ngram_size must be >= 1")
+        if self.multiclass not in ("ovr", "ovo"):
+            raise ValueError("multiclass must be 'ovr' or 'ovo'")
         if self.n_classes not in (2, 5):
             raise ValueError("n_classes must be 2 or 5")
