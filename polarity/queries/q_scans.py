@@ -10,7 +10,7 @@ from polarity.operators.ids import dense_ids
 from polarity.operators.scoring import last_label, route_errors, upsert_scores
 from polarity.plans import testbed as tb
 from polarity.queries.registry import register, with_ctes, words_sql
-from polarity.sources.tables import (limited, load_table, ordered, scan_category, scan_labelled,
+from polarity.sources.tables import (load_table, ordered, scan_category, scan_labelled,
                                      scan_labelled_since, scan_queue, scan_unscored)
 
 NEWS = ("news", tb.NEWS_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from polarity.config import LETTER_WORD
-from polarity.functions.text import (clean, parse_message, prefix_number, split_list, stamp,
+from polarity.functions.text import (parse_message, prefix_number, split_list, stamp,
                                      strip_markup, text_state, words)
 from polarity.functions.vecmath import euclidean, manhattan
 from polarity.operators.lemma import lemmatise

@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from polarity.config import Settings
 from polarity.functions.text import clean, text_state, words
