@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polarity.session import materialize
+from polarity.session import write_table
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -15,8 +15,9 @@ def dense_ids(df: DataFrame, order_cols, name: str = "id", start: int = 1,
     """Attach ``name`` = start, start+1, ... following ``order_cols`` (should be a unique key).
 
     Range-partition + sort within partitions, tag rows with monotonically_increasing_id
-    (partition index in the high bits, position in the low bits), checkpoint so the tags are
-    fixed, then add per-partition offsets.  The offsets table has one row per partition, so
+    (partition index in the high bits, position in the low bits), write the tagged rows as a
+    table in the shared folder so the tags are fixed, then add per-partition offsets (counted
+    from the tag column alone).  The offsets table has one row per partition, so
     broadcasting it is bounded by the partition count, not by the data.
     """
     if isinstance(order_cols, str):
@@ -26,7 +27,7 @@ def dense_ids(df: DataFrame, order_cols, name: str = "id", start: int = 1,
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = materialize(tagged)
+    tagged = write_table(tagged, "dense-ids")
     pid = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
