@@ -44,3 +44,16 @@ def test_scan_prunes_and_pushes(spark):
     p = plan(q["load_table"](spark, SF))
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,1000)]" in p
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in p
+
+
+def test_predict_has_no_cross_join(spark):
+    from polarity.operators.dictionary import build_dictionary
+    from polarity.operators.svm import predict, train_svm
+    from polarity.operators.vectors import vector_space
+    s = Settings(ngram_size=2, n_classes=5, multiclass="ovo")
+    c = spark.createDataFrame([(0, "хороший день", 1), (1, "плохой день", -1), (2, "очень хороший", 2),
+                               (3, "очень плохой", -2)], "doc_id long, text string, emotion int")
+    d = build_dictionary(c, s)
+    v = vector_space(c, d, s)
+    p = plan(predict(train_svm(v, d.count(), s), v.withColumnRenamed("doc_id", "guid"), "guid"))
+    assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
