@@ -25,11 +25,12 @@ def test_dictionary_has_one_terms_shuffle(spark):
     assert "partial_sum" in p  # map-side partial aggregation before the shuffle
 
 
-def test_lookup_is_not_sort_merge(spark):
+def test_lookup_is_one_equi_join(spark):
     c = tb.corpus(spark, SF)
     d = spark.createDataFrame([("the", 1, 0.5)], "n_gramm string, n_gramm_id long, idf double")
     p = plan(lookup_terms(terms(c, "doc_id", "text", S), d))
-    assert "SortMergeJoin" not in p
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert sum(("HashJoin" in line or "SortMergeJoin" in line) and "ngram" in line for line in p.splitlines()) == 1
 
 
 def test_assignment_has_no_cross_join(spark):
