@@ -29,6 +29,8 @@ _STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # many small stores: no megabytes of preallocated log files for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
