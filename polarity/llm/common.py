@@ -5,9 +5,12 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polarity.session import write_table
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,3 +51,20 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(w.lower())
         out.append(w)
     return out
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with helper columns _file and _row that name each row's place in its files; a
+    frame that is no plain file scan is written to the shared folder first."""
+    file, row = fresh_names(docs, "_file", "_row")
+
+    def add(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.withColumns({file: at["file_path"], row: at["row_index"]})
+
+    try:
+        out = add(docs)
+        out.schema  # noqa: B018  resolves the metadata column
+        return out
+    except PySparkException:
+        return add(write_table(docs, "located"))

@@ -17,11 +17,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polarity.llm.common import fresh_names, text_or_empty
+from polarity.llm.common import located, text_or_empty
 from polarity.session import remove_path, scratch_path, table_path, write_table
 
 _STATE = {
@@ -46,23 +45,6 @@ def _settings(spark: SparkSession, wanted: dict):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with helper columns _file and _row that name each row's place in its files; a
-    frame that is no plain file scan is written to the shared folder first."""
-    file, row = fresh_names(docs, "_file", "_row")
-
-    def add(df: DataFrame) -> DataFrame:
-        at = df.metadataColumn("_metadata")
-        return df.withColumns({file: at["file_path"], row: at["row_index"]})
-
-    try:
-        out = add(docs)
-        out.schema  # noqa: B018  resolves the metadata column
-        return out
-    except PySparkException:
-        return add(write_table(docs, "dedup-docs"))
-
-
 def retain(spark: SparkSession, arrivals_path: str, schema, max_bytes_per_trigger: int = 256 << 30) -> DataFrame:
     """Run all arrivals through the keyed state; one row per digest: keep (id, file, row), n."""
     state = scratch_path(spark, "dedup-state")
