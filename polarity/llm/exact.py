@@ -93,9 +93,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = (placed.select(text.alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
              .join(group, ["file", "row"]))
     stay = texts.filter("kept").select("digest", F.col("text").alias("keep_text"))
-    differ = write_table(
-        texts.filter("not kept").join(stay, "digest").filter("text != keep_text").select("digest").distinct(),
-        "dedup-differ")
+    # no distinct() here: it would hold the join to one task for each digest
+    differ = write_table(texts.filter("not kept").join(stay, "digest").filter("text != keep_text").select("digest"),
+                         "dedup-differ")
     for t in (state, arrivals):
         remove_path(spark, table_path(t))
     if differ.isEmpty():
