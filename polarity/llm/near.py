@@ -9,8 +9,10 @@ Links are found without pairing buckets up:
 
 1. every class is held against the smallest class that it shares a bucket with,
 2. then against the smallest of each of its buckets, unless already connected,
-3. in the buckets whose classes are still not all connected, the classes of different
-   components are held against each other.
+3. the classes of buckets that are still not all connected go through an exact prefix and
+   positional filter: shingles in order of rarity among them, two classes of different components
+   are held against each other only if they share an early enough shingle (a class with too many
+   shingles of its own meets nobody).
 
 A candidate passes a size bound, then signature verification (512 one-bit minima, six standard
 deviations below the threshold), then the exact test on the full sets.  Components come from
@@ -138,6 +140,42 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: i
     return write_table(verified(whole, percent), "near-links")
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, n, shingles) of rows (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), known).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["node", "n", "shingles"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInArrow(run, f"node {kind}, n bigint, shingles array<bigint>")
+
+
+def _prefix_pairs(member: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members (node, c) of different c that can be similar enough, by prefix, size
+    and positional filter on their shingles in order of rarity."""
+    sets = write_table(_sets(texts.join(member.select("node"), "node", "left_semi")).join(member, "node"), "near-sets")
+    tokens = sets.select("node", F.explode("shingles").alias("token"))
+    count = write_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "near-rarity")
+    # A shingle of one member only comes first in its order and joins nothing: only its number counts.
+    shared = (tokens.join(count, "token").groupBy("node")
+              .agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order")))
+    ranked = write_table(
+        sets.select("node", "n", "c").join(shared, "node")
+        .select("node", "n", "c", F.size("order").alias("k"), F.posexplode("order").alias("p", "o"))
+        .select("node", "n", "c", (F.col("k") - F.col("p")).alias("left"), F.col("o.token").alias("token"))
+        .filter(100 * F.col("left") >= percent * F.col("n")), "near-prefixes")
+    x = ranked.select("token", *[F.col(k).alias(k + "1") for k in ("node", "n", "c", "left")])
+    y = ranked.select("token", *[F.col(k).alias(k + "2") for k in ("node", "n", "c", "left")])
+    return (x.join(y, "token")
+            .filter((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2"))
+                    & ((100 + percent) * F.least("left1", "left2") >= percent * (F.col("n1") + F.col("n2"))))
+            .select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct())
+
+
 def _merge(known: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """(node, component) after new links; ``known`` maps nodes to earlier components."""
     if links.isEmpty():
@@ -195,12 +233,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = write_table(open_pairs(meets).select("bucket").distinct(), "near-split")
     if not split.isEmpty():
         some = meets.join(split, "bucket", "left_semi")
-        member = some.select("bucket", F.col("v").alias("node")).union(some.select("bucket", "u").distinct())
+        member = some.select(F.col("u").alias("node")).union(some.select("v")).distinct()
         member = write_table(_lift(member.withColumn("c", F.col("node")), known, "c"), "near-members")
-        x = member.select("bucket", F.col("node").alias("u"), F.col("c").alias("cu"))
-        y = member.select("bucket", F.col("node").alias("v"), F.col("c").alias("cv"))
-        cross = (x.join(y, "bucket").filter("u < v AND cu != cv").select("u", "v").distinct()
-                 .join(meets.select("u", "v"), ["u", "v"], "left_anti"))
+        cross = _prefix_pairs(member, texts, percent)
         known = _merge(known, _confirm(cross, sketches, texts, percent))
 
     named = write_table(_lift(reps.withColumn("component", F.col("rep")), known, "component"), "near-classes")
