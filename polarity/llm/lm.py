@@ -23,6 +23,7 @@ each other; texts are read whole; an empty table has an empty result; other colu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polarity.llm.common import ship_by_value, text_or_empty
-from polarity.llm.shingles import WordHashes, mix, word_hashes
+from polarity.llm.shingles import hash_words, mix, utf8
 from polarity.session import write_table
 
 ship_by_value(__name__)
@@ -39,7 +40,7 @@ ship_by_value(__name__)
 ORDER = 3
 ALPHA = 0.4
 UNSEEN = 0.5
-BLOCK_BYTES = 4 << 20        # text in a block, at least
+BLOCK_BYTES = 8 << 20        # text in a block, at least
 MESSAGE_BYTES = 192          # of text for each message, at least (block x partition = this x corpus)
 
 
@@ -58,10 +59,9 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 def _ngrams(texts, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(document of each word, words of each document, by order the hashes of the n-grams, by order
     the words that they end at) of a block."""
-    known = WordHashes()
-    per_text = [word_hashes(t, known) for t in texts]
-    sizes = np.array([len(x) for x in per_text], np.int64)
-    words = np.concatenate(per_text) if per_text else np.empty(0, np.uint64)
+    raw, bounds = utf8(texts)
+    words, start = hash_words(raw, bounds)
+    sizes = np.diff(np.searchsorted(start, bounds))
     doc = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     hashes, at, value = [], [], words
@@ -80,15 +80,36 @@ def _bounds(distinct: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(distinct, np.array(edges, np.uint64)), [len(distinct)]]).astype(np.int64)
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, text) as one compressed bundle for each block in a batch."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        order = np.argsort(blocks := batch.column(0).to_numpy(), kind="stable")
+        edges = np.flatnonzero(np.diff(blocks[order], prepend=-1)).tolist()
+        rows = batch.select([1, 2]).take(pa.array(order))
+        out = []
+        for s, e in zip(edges, [*edges[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                # a copy without the rows around it
+                writer.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(s, e - s)]) for c in rows.columns], schema=rows.schema))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[order][edges]), pa.array(out, pa.binary())], names=["block", "rows"])
+
+
+def _unbundle(bundles: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x.as_py()).read_all() for x in bundles["rows"])
+
+
 def _requests(order: int, parts: int):
-    def run(block: pa.Table) -> pa.Table:
-        _, _, hashes, _ = _ngrams(block["text"].to_pylist(), order)
+    def run(bundles: pa.Table) -> pa.Table:
+        _, _, hashes, _ = _ngrams(_unbundle(bundles)["text"].combine_chunks(), order)
         distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
         bounds = _bounds(distinct, parts)
         out = [(p, _pack(np.diff(distinct[s:e], prepend=np.uint64(0))), _pack(counts[s:e].astype(np.uint32)))
                for p, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if e > s]
         part, asked, count = zip(*out) if out else ((), (), ())
-        return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array([block["block"][0].as_py()] * len(out), pa.int64()),
+        return pa.table({"part": pa.array(part, pa.int64()), "block": pa.array([bundles["block"][0].as_py()] * len(out), pa.int64()),
                          "hashes": pa.array(asked, pa.binary()), "counts": pa.array(count, pa.binary())})
     return run
 
@@ -109,8 +130,9 @@ def _answers(rows: pa.Table) -> pa.Table:
 
 
 def _scores(order: int, alpha: float):
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        doc, sizes, hashes, at = _ngrams(block["text"].to_pylist(), order)
+    def run(bundles: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _unbundle(bundles)
+        doc, sizes, hashes, at = _ngrams(block["text"].combine_chunks(), order)
         n_docs, n = len(sizes), len(doc)
         in_order = np.argsort(np.array(answers["part"].to_pylist(), np.int64))
         totals = [_unpack(answers["totals"][int(i)].as_py(), np.uint64).astype(np.int64) for i in in_order]
@@ -144,7 +166,7 @@ def _scores(order: int, alpha: float):
         by_order.append(np.bincount(doc[rest], minlength=n_docs))
         unseen = np.bincount(doc[rest[other[0][rest] == 0]], minlength=n_docs)
         return pa.table({"id": block["id"], "n_words": pa.array(sizes),
-                         "log_sum": pa.array(np.bincount(doc, weights=log_sum, minlength=n_docs)),
+                         "log_sum": pa.array(np.bincount(doc, weights=log_sum, minlength=n_docs).astype(np.float64)),
                          "n_unseen": pa.array(unseen.astype(np.int64)),
                          "by_order": pa.array([x.tolist() for x in np.stack(by_order, 1).astype(np.int64)], pa.list_(pa.int64()))})
     return run
@@ -157,8 +179,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
     each = max(block_bytes, math.isqrt(MESSAGE_BYTES * size))
     blocks = parts = size // each + 1
-    dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"),
-                        text_or_empty(text_col).alias("text"))
+    dealt = (docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"),
+                         text_or_empty(text_col).alias("text"))
+             .mapInArrow(_bundle, "block bigint, rows binary"))
     asked = dealt.groupBy("block").applyInArrow(_requests(order, parts), "part bigint, block bigint, hashes binary, counts binary")
     told = asked.groupBy("part").applyInArrow(_answers, "block bigint, part bigint, totals binary")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from polarity.llm.common import ship_by_value
 from polarity.llm.components import components
-from polarity.llm.shingles import WordHashes, mix, shingle_set
+from polarity.llm.shingles import mix, shingle_sets
 from polarity.session import write_table
 
 ship_by_value(__name__)
@@ -82,13 +82,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         a, b = _parameters(BANDS * ROWS)
         weights = np.random.default_rng(5).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        known = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sizes, digests, bands, bits = [], [], [], []
-                for t in part.column(1):
-                    s = shingle_set(t.as_py(), known)
+                for s in shingle_sets(part.column(1)):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     m = minima((s >> np.uint64(32)).astype(np.uint32), a, b)
@@ -111,17 +109,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def verified(candidates: DataFrame, percent: int) -> DataFrame:
     """Of rows (u, v, u_text, v_text), the pairs whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, last_set = WordHashes(), None, None
         for batch in batches:
-            u, v, ut, vt = batch.columns
-            keep = []
-            for i in range(batch.num_rows):
-                if (i_u := ut[i].as_py()) != last:
-                    last, last_set = i_u, shingle_set(i_u, known)
-                other = shingle_set(vt[i].as_py(), known)
-                both = len(last_set) + len(other) - len(np.union1d(last_set, other))
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 200):
+                u, v, ut, vt = batch.slice(start, 200).columns
+                keep = []
+                for a, b in zip(shingle_sets(ut), shingle_sets(vt)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     kind = candidates.schema["u"].dataType.simpleString()
     return candidates.select("u", "v", "u_text", "v_text").mapInArrow(run, f"u {kind}, v {kind}")
@@ -143,9 +138,8 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: i
 def _sets(texts: DataFrame) -> DataFrame:
     """(node, n, shingles) of rows (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), known).view(np.int64) for t in batch.column(1)]
+            sets = [x.view(np.int64) for x in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                 names=["node", "n", "shingles"])
