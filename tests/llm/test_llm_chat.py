@@ -1,0 +1,79 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from polarity.llm.chat import INST, Template, Turn, format_conversations, loss_text, read_turns
+
+PIECES = [*INST.control, "\\", "\\\\", "[", "<", "</", "INST]", " ", "\n", "a", "é", "[\\INST]", "$1", "\U0001f600"]
+
+
+def chats(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for c in range(n):
+        for k in range(rng.randint(1, 5)):
+            role = rng.choice(["system", "user", "assistant", "assistant", "user", "tool<s>", "", None])
+            text = rng.choice([None, "", "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12)))])
+            out.append((c, rng.choice([k, k, None, 1]), role, text))
+    return out
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    return df.withColumns({c: F.lit("own") for c in ("t", "turns", "segments", "formatted", "loss", "valid")})
+
+
+def in_order(rows):
+    by = {}
+    for c, k, r, t in rows:
+        by.setdefault(c, []).append((k is not None, k or 0, r or "", t or ""))
+    return {c: [(r, t) for _, _, r, t in sorted(x)] for c, x in by.items()}
+
+
+@pytest.mark.parametrize("template", [INST, Template(("<|a|>", "<|b|>", "<|c|>", "<|d|>", "<|e|>"), {"user": Turn("<|a|>user\n", "<|b|>\n"), "assistant": Turn("<|a|>assistant\n", "<|b|>\n", True)},
+                                                     {"start": ("user",), "user": ("assistant",), "assistant": ("user",)}, ("assistant",), other=("<|c|>", "<|d|>", "<|e|>"))])
+def test_round_trip(spark, template):
+    rows = chats(1, 150) + [(1000, 0, "user", "long " * 100000), (1000, 1, "assistant", "[INST]" * 20000)]
+    want = in_order(rows)
+    made = format_conversations(frame(spark, rows), template)
+    got = made.select("*", read_turns(F.col("formatted"), template).alias("read"), loss_text(F.col("segments")).alias("learned")).collect()
+    assert {r.conv_id for r in got} == set(want)
+    for r in got:
+        turns = want[r.conv_id]
+        assert [(x.role, x.text) for x in r.read] == turns
+        assert r.formatted == "".join(s.text for s in r.segments) and r.n_turns == len(turns)
+        assert r.learned == "".join(t for role, t in turns if role == "assistant")
+        for s in r.segments[1::3]:
+            assert not any(c in s.text for c in template.control)
+
+
+def test_turn_order(spark):
+    cases = {1: ["user", "assistant"], 2: ["system", "user", "assistant", "user"], 3: ["assistant"], 4: ["user", "user"],
+             5: ["system"], 6: ["user", "assistant", "system"], 7: ["user", "tool", "assistant"]}
+    rows = [(c, k, role, "x") for c, roles in cases.items() for k, role in enumerate(roles)]
+    got = {r.conv_id: (r.valid, r.first_wrong) for r in format_conversations(frame(spark, rows)).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 1), 5: (False, None), 6: (False, 2), 7: (False, 1)}
+
+
+def test_empty_and_bad_templates(spark):
+    assert format_conversations(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        Template(("<s>",), {"user": Turn("user: ", "<s>")}, {}, ())
+    with pytest.raises(ValueError):
+        Template(("<s>", "<s>>"), {"user": Turn("<s>", "<s>")}, {}, ())
+
+
+def test_query_digests(spark):
+    """The registered query on sf0.001 against plain Python, conversation -1 included."""
+    from polarity.llm.common import table
+    from polarity.llm.q_chat import CONTROL_TEXT, op2_chat_format
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "conversations").select("conv_id", "turn", "role", "text").collect()]
+    want = in_order(rows + [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)])
+    for r in op2_chat_format(spark, "/root/testdata/sf0.001").collect():
+        turns = want.pop(r.conv_id)
+        learned = "".join(t for role, t in turns if role == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert not want

@@ -1,0 +1,68 @@
+import math
+import random
+from collections import defaultdict
+from fractions import Fraction
+
+from llm_cases import as_docs, edge_rows, words_of
+
+from polarity.llm.mixing import mix, random_offset, take
+
+
+def brute(rows):
+    sized = [(i, len(words_of(t)), s) for i, t, s in rows]
+    size = defaultdict(int)
+    for _, n, s in sized:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, free, left = {}, set(names), Fraction(3, 2) * sum(size.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not above:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in above:
+            target[s] = Fraction(2 * size[s])
+            left -= 2 * size[s]
+        free -= above
+    u, out = random_offset(), []
+    for s in names:
+        e = float(target[s]) / size[s] if size[s] else 0.0
+        ordered = sorted((x for x in sized if x[2] == s), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
+        for k, (i, n, _) in enumerate(ordered):
+            out.append((i, n, size[s], round(float(target[s]), 6), (math.floor(u + (k + 1) * e) - math.floor(u + k * e)) * n))
+    return sorted(out, key=repr)
+
+
+def result(df):
+    return sorted([(r.id, r.size, r.source_size, round(r.target, 6), r.taken) for r in df.collect()], key=repr)
+
+
+def test_edge_cases(edge, nothing):
+    got = mix(edge)
+    assert result(got) == brute(edge_rows())
+    assert result(mix(edge)) == result(got)
+    mixed = take(edge)
+    assert mixed.columns == edge.columns
+    assert sorted([r.doc_id for r in mixed.collect()], key=repr) == sorted([r.id for r in got.collect() for _ in range(r.copies)], key=repr)
+    assert mix(nothing).count() == take(nothing).count() == 0
+
+
+def test_skewed_sources(spark):
+    """One source with a third of all rows, one tiny, ties in size."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([1, 5, 5, 5, 40, 300]), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(900)] + [(1000, "a b", "tiny")]
+    got = mix(as_docs(spark, rows))
+    assert result(got) == brute(rows)
+    taken, target, most = defaultdict(int), {}, defaultdict(int)
+    for r in got.collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        most[r.source] = max(most[r.source], r.size)
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - target[s]) <= 2 * most[s] for s in target)
+
+
+def test_no_words(spark):
+    assert [r.taken for r in mix(as_docs(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]

@@ -1,0 +1,81 @@
+import random
+
+import pytest
+from llm_cases import as_docs, edge_rows, prose, shingles_of
+
+from polarity.llm.components import components
+from polarity.llm.near import keep_one, near_components
+
+
+def brute(rows, percent=75):
+    """(id, set size, component) of rows with distinct ids, null ids aside."""
+    sets = {}
+    for i, t, _ in rows:
+        if i is not None:
+            sets.setdefault(shingles_of(t), []).append(i)
+    keys = [k for k in sets if k]
+    parent = {k: k for k in keys}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    for x, a in enumerate(keys):
+        for b in keys[:x]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                parent[find(a)] = find(b)
+    low = {}
+    for k in keys:
+        low[find(k)] = min([low.get(find(k), 1 << 60), *sets[k]])
+    return sorted(((i, len(shingles_of(t)), (low[find(shingles_of(t))] if shingles_of(t) else i) if i is not None else None)
+                   for i, t, _ in rows), key=repr)
+
+
+def family(seed, copies, most):
+    """A text and copies with up to ``most`` changed words, of the copies too."""
+    rng, out = random.Random(seed), [prose(seed, 120).split()]
+    for _ in range(copies):
+        w = list(rng.choice(out[:3]))
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_edge_cases(edge, nothing):
+    got = near_components(edge).collect()
+    assert sorted([(r.id, r.n, r.component_id) for r in got], key=repr) == brute(edge_rows())
+    assert all(r.kept == (r.id is None or r.id == r.component_id) for r in got)
+    left = keep_one(edge)
+    assert left.columns == edge.columns
+    assert {r.doc_id for r in left.collect()} == {r.id for r in got if r.kept}
+    assert near_components(nothing).count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 12])
+def test_families_equal_brute_force(spark, most):
+    """Large families around the threshold: pivots alone do not find every link."""
+    texts = [t for s in range(3) for t in family(s, 70, most)] + [prose(99 + i, 40) for i in range(20)]
+    order = random.Random(5).sample(range(len(texts)), len(texts))
+    rows = [(i, texts[k], "s") for i, k in enumerate(order)]
+    got = near_components(as_docs(spark, rows)).collect()
+    assert sorted([(r.id, r.n, r.component_id) for r in got], key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(None, 1)]
+    label = {x: x for p in pairs for x in p if x is not None}
+    for _ in range(200):
+        for a, b in pairs:
+            if a is not None and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    linked = {x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    got = components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, label[x]) for x in linked)
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0

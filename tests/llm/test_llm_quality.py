@@ -1,0 +1,77 @@
+import random
+
+import pytest
+from llm_cases import edge_rows
+
+from polarity.llm.common import table
+from polarity.llm.quality import judge, keep_good, quality_signals, repeated_window_words, repeats
+
+
+def brute_repeats(text, least):
+    n, best = len(text), [0] * len(text)
+    for i in range(n):
+        for j in range(n):
+            k = 0
+            while i != j and i + k < n and j + k < n and text[i + k] == text[j + k]:
+                k += 1
+            best[i] = max(best[i], k)
+    covered = {x for i in range(n) if best[i] >= least for x in range(i, i + best[i])}
+    return covered, max((b for b in best if b >= least), default=0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_equal_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        letters = "abcdefghijklmnopqrstuvwxyzé\U0001f600"[:rng.choice([1, 2, 3, 28])]
+        s = "".join(rng.choice(letters) for _ in range(rng.randint(1, 80)))
+        if rng.random() < 0.5:
+            s += s[rng.randrange(len(s)):] + rng.choice(["", "zz"]) + s[:rng.randint(0, len(s))]
+        least = rng.choice([2, 3, 5, 8, 12, 20, 33])
+        spans, longest = repeats(s, least)
+        assert ({x for a, b in spans for x in range(a, b)}, longest) == brute_repeats(s, least)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_window_words_equal_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(100):
+        w = [b"%d" % rng.randrange(rng.choice([1, 2, 4, 50])) for _ in range(rng.randint(0, 60))]
+        grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+        inside = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+        assert repeated_window_words(w) == len(inside)
+
+
+def test_verdicts():
+    assert judge(None)[:7] == judge("")[:7] == (0, 0, 0, 0, 0, True, False)
+    clean = " ".join(f"word{i}" for i in range(300))
+    assert judge(clean)[5:7] == (False, True)
+    assert judge(clean + " " + clean)[5] is True
+    glued = "".join(chr(0x4E00 + i) for i in range(500))
+    copied = " ".join("abcdefghij") + " " + glued + "-" + glued      # few words: only the substrings tell
+    assert judge(copied)[5:7] == (False, False)
+    assert judge("a b\n|x|\na b\n \na b")[1:4] == (9, 2, 2)
+
+
+def test_signals_and_filter(spark, edge, nothing):
+    want = sorted((r[0] or -1, *judge(r[1])) for r in edge_rows())
+    got = sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in quality_signals(edge).collect())
+    assert got == want
+    kept = keep_good(edge)
+    assert kept.schema == edge.schema
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r[0] or -1 for r in edge_rows() if judge(r[1])[6])
+    assert quality_signals(nothing).count() == keep_good(nothing).count() == 0
+
+
+def test_base_signals_in_sql(spark):
+    """The base rule over whole sf0.001 against plain Python."""
+    import re
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    for r in quality_signals(table(spark, "/root/testdata/sf0.001", "documents")).collect():
+        t = docs[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)

@@ -1,0 +1,69 @@
+import random
+import re
+
+import pytest
+from llm_cases import edge_rows
+
+from polarity.llm.common import table
+from polarity.llm.secrets import KINDS, assignments, find, scan
+
+BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), lambda m: len(m[2]) >= 12),
+        "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16)}
+
+
+def brute_base(text):
+    return sorted((m.start(), KINDS.index(k), m.end()) for k, (p, ok) in BASE.items() for m in p.finditer(text or "") if ok(m))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans_equal_brute_force(seed):
+    rng = random.Random(seed)
+    parts = ["password", "TOKEN", "secret", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef",
+             "ab", "Z", "token=secret=", "\n", "==", "é", "ſ", "K", "key", "+"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert [(s, KINDS.index(k), e) for k, s, e, _, _ in find(t) if k != "literal"] == brute_base(t)
+
+
+@pytest.mark.parametrize("text, literal", [
+    ('db_password: str = "Xk29fjLmQ02kd"', "Xk29fjLmQ02kd"),
+    ('a = "abc123def456"\nclient_secret = a', "abc123def456"),          # a constant's name
+    ('{"access_key": "Zk39dkfQpL20sXmf", "n": 3}', "Zk39dkfQpL20sXmf"),
+    ("service-key => 'qP9x0ffkd8'", "qP9x0ffkd8"),
+    ('private_key := "aB3" + "xYz9912kd"', 'aB3" + "xYz9912kd'),
+    ("PRIVATE_KEY=qP9x0ffkd8zz", "qP9x0ffkd8zz"),
+    ("config['encryption_key'] = 'qP9x0ffkd8zz'", "qP9x0ffkd8zz"),
+])
+def test_literals_of_sensitive_names(text, literal):
+    at = text.index(literal)
+    assert [(s, e) for k, s, e, _, _ in find(text) if k == "literal"] == [(at, at + len(literal))]
+
+
+@pytest.mark.parametrize("text", ["", None, 'title = "abc123def456"', "secret_key: ${FOO_BAR_BAZ}", 'client_secret = "changeme-example"',
+                                  'x = load("qP9x0ffkd8zz")', "the access key: see the manual", 'private_key = unknown_name(3)'])
+def test_no_literals(text):
+    assert [x for x in find(text) if x[0] == "literal"] == []
+
+
+def test_base_span_covers_literal():
+    assert [x[0] for x in find('token = "qP9x0ffkd8zzqP9x"')] == ["assign"]
+
+
+def test_constants():
+    assert [x[:2] for x in assignments('a = "x1" + "y2"\nb = a\nc = b + "z"')] == [("a", "x1y2"), ("b", "x1y2"), ("c", "x1y2z")]
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6, "a." * 300000, '"' * 300000, "a:" * 200000, "password=" * 100000, "x: " * 200000, " " * 10**6, "a = " * 200000, '["' * 200000])
+def test_long_texts_take_linear_time(text):
+    find(text)
+
+
+def test_scan(spark, edge, nothing):
+    got = scan(edge).collect()
+    want = [(i, [tuple(x) for x in find(t)]) for i, t, _ in edge_rows()]
+    assert sorted([(r.id, [tuple(x) for x in r.spans]) for r in got], key=repr) == sorted(want, key=repr)
+    assert scan(nothing).count() == 0
+    for r in scan(table(spark, "/root/testdata/sf0.01", "documents")).join(
+            table(spark, "/root/testdata/sf0.01", "documents").withColumnRenamed("doc_id", "id"), "id").collect():
+        assert [(x.start, KINDS.index(x.kind), x.end) for x in r.spans if x.kind != "literal"] == brute_base(r.text)
