@@ -34,6 +34,7 @@ class Settings:
     degree: int = 3
     kernel_dim: int = 256        # size of the random feature map for RBF / POLY
     seed: int = 7
+    max_iter: int = 10_000       # bound on solver steps; a fit that reaches it warns
     batch_size: int = SCORING_BATCH
     multiclass: str = "ovr"      # ovr: one model per class; ovo: one per pair, votes (libsvm's rule)
 

@@ -95,7 +95,7 @@ def fill_empty(cells_col) -> Column:
 
 
 def parse_message(col) -> Column:
-    """``id<TAB>text`` -> struct(id, text); the first tab splits, the text may hold more tabs."""
+    """``id<TAB>text`` -> struct(id, text); the first tab splits, the text may hold more tabs.  A
+    message without a tab is an id with an empty text."""
     parts = F.split(_c(col), "\t", 2)
-    return F.struct(parts.getItem(0).alias("id"),
-                    F.coalesce(parts.getItem(1), F.lit("")).alias("text"))
+    return F.struct(F.get(parts, 0).alias("id"), F.coalesce(F.get(parts, 1), F.lit("")).alias("text"))

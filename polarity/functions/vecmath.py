@@ -30,6 +30,8 @@ def euclidean(a, b) -> Column:
 
 
 def squared_euclidean(a, b) -> Column:
+    """sum (a_i - b_i)^2; vectors of unequal length have distance 0, as for the other distances."""
     a, b = _c(a), _c(b)
-    return _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                           * (x.cast("double") - y.cast("double"))))
+    d = _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
+                        * (x.cast("double") - y.cast("double"))))
+    return F.when(F.size(a) == F.size(b), d).otherwise(F.lit(0.0))

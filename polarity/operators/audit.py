@@ -39,10 +39,10 @@ def lookup_list(df: DataFrame, keys: DataFrame, col: str = "guid", key_col: str
     return df.join(k, col, "left_semi")
 
 
-def text_audit(df: DataFrame, text_col: str = "text", pattern: str = CYRILLIC_WORD) -> DataFrame:
-    """Texts seen, foreign (no word of the script), empty."""
-    st = text_state(text_col, pattern)
-    return df.select(st.alias("_s")).agg(
+def text_audit(df: DataFrame, text_col: str = "text", pattern: str = CYRILLIC_WORD, by: str | None = None) -> DataFrame:
+    """Texts seen, foreign (no word of the script), empty; per value of ``by`` if given."""
+    groups = [by] if by else []
+    return df.select(*groups, text_state(text_col, pattern).alias("_s")).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("texts"),
         F.count_if(F.col("_s") == "foreign").alias("foreign_texts"),
         F.count_if(F.col("_s") == "empty").alias("empty_texts"))

@@ -77,12 +77,15 @@ def seed_centroids(points: DataFrame, k: int, metric: str = "euclidean", seed: i
     """M9: first centroid a uniformly drawn point, each next one drawn with probability
     proportional to weight (distance to the nearest chosen centroid ** power).  One weighted
     draw = min over points of -ln(u)/w (exponential race), a plain aggregate: k passes."""
-    first = (points.withColumn("_u", F.rand(seed))
+    def uniform(s):     # of the seed and the key: the draw does not depend on the partitioning
+        return (F.pmod(F.xxhash64(F.lit(s), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+    first = (points.withColumn("_u", uniform(seed))
              .select(F.min_by(F.col(features), F.col("_u")).alias("f")).first()["f"])
     cents = [list(first)]
     for i in range(1, k):
         w = seed_weights(points, cents, metric, power, features).where(F.col("weight") > 0)
-        w = w.withColumn("_race", -F.log(F.rand(seed + i)) / F.col("weight"))
+        w = w.withColumn("_race", -F.log(uniform(seed + i)) / F.col("weight"))
         nxt = w.select(F.min_by(F.col(features), F.col("_race")).alias("f")).first()["f"]
         if nxt is None:  # fewer distinct points than k
             break

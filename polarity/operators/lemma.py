@@ -13,17 +13,20 @@ def lemmatise(df: DataFrame, lemma_dict: DataFrame, key: str = "doc_id", text_co
               pattern: str = CYRILLIC_WORD, out: str = "lemma_text") -> DataFrame:
     """Replace each word by its lemma; unknown forms stay as they are.
 
-    Words are exploded with their position and joined to the dictionary by key (not by line
-    position), then regrouped per text in position order.  The partial collect runs in the task
-    that holds the text, so the shuffle carries one row per text.  Texts without words get ''.
+    Each text's distinct known forms are joined to the dictionary, gathered into one map per text
+    (bounded by the text) and applied to its words in order.  A form with several entries has one
+    lemma, the smallest (lemma, pos).  Sort-merge joins are asked for: neither the texts nor their
+    words may be broadcast.  Texts without words get ''; texts that share a key share its map.
     """
-    w = df.repartition(key).select(key, F.posexplode(words(text_col, pattern)).alias("pos", "form"))
-    d = lemma_dict.select("form", "lemma")
-    j = w.join(d, "form", "left").select(key, "pos", F.coalesce("lemma", "form").alias("lemma"))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))
-    lem = g.select(key, F.array_join(F.col("_l.lemma"), " ").alias(out))
-    return (df.join(lem, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(""))))
+    entry = F.struct("lemma", *(["pos"] if "pos" in lemma_dict.columns else []))
+    one = lemma_dict.where(F.col("lemma").isNotNull()).groupBy("form").agg(F.min(entry)["lemma"].alias("_lemma"))
+    forms = (df.select(key, F.explode(F.array_distinct(words(text_col, pattern))).alias("form"))
+             .join(one.hint("merge"), "form").where(F.col("_lemma") != F.col("form")))
+    maps = (forms.groupBy(key).agg(F.collect_set(F.struct("form", "_lemma")).alias("_pairs"))
+            .select(key, F.map_from_entries("_pairs").alias("_map")))
+    joined = df.join(maps.hint("merge"), key, "left").withColumn("_words", words(text_col, pattern))
+    lemma = F.transform("_words", lambda w: F.coalesce(F.element_at("_map", w), w))
+    return joined.withColumn(out, F.array_join(lemma, " ")).drop("_map", "_words")
 
 
 def drop_pos(word_df: DataFrame, pos_dict: DataFrame, classes, word: str = "word") -> DataFrame:

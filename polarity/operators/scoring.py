@@ -28,12 +28,12 @@ def upsert_scores(texts: DataFrame, scores: DataFrame, key: str = "guid",
                       .alias(score_col) if c == score_col else F.col(c) for c in texts.columns])
 
 
-def write_scores_if_any(texts: DataFrame, scores: DataFrame, path: str, **kw) -> bool:
-    """Write the updated table only when there is at least one score (no scores -> no write)."""
-    if scores.isEmpty():
-        return False
-    upsert_scores(texts, scores, **kw).write.mode("overwrite").parquet(path)
-    return True
+def last_rows(df: DataFrame, key: str, order) -> DataFrame:
+    """One row per key, the last in ``order`` (columns): a key that comes twice is scored once.
+    A plain aggregate, partial per task, so a hot key never gathers its rows."""
+    rest = [c for c in df.columns if c != key]
+    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+    return last.select(*[F.col(c) if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
 def route_errors(df: DataFrame, key: str = "guid", text_col: str = "text",
@@ -45,15 +45,13 @@ def route_errors(df: DataFrame, key: str = "guid", text_col: str = "text",
     return good, bad
 
 
-def batch_report(vectors: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """Texts handled, texts with errors (no terms), scores sent."""
-    r = vectors.agg(F.count(F.lit(1)).alias("texts"),
-                    F.count_if(F.col("n_terms") == 0).alias("errors"))
-    if scores is None:
-        return r.withColumn("scores", F.col("texts"))
-    return r.withColumn("scores", scores.select(F.count(F.lit(1))).scalar())
+def batch_report(texts: DataFrame, errors: DataFrame, scores: DataFrame) -> DataFrame:
+    """Texts handled, texts routed to the errors, scores sent."""
+    def count(df):
+        return df.select(F.count(F.lit(1))).scalar()
+    return texts.agg(F.count(F.lit(1)).alias("texts")).select("texts", count(errors).alias("errors"), count(scores).alias("scores"))
 
 
 def apply_once(scores: DataFrame, key: str = "guid") -> DataFrame:
-    """T5: a replayed batch adds nothing new: one row per key."""
-    return scores.dropDuplicates([key])
+    """T5: a replayed batch adds nothing new: one row per key (of different rows the largest)."""
+    return last_rows(scores, key, [c for c in scores.columns if c != key])

@@ -40,7 +40,7 @@ def q_outcome5(spark, sf):
     return outcome_counts(_scored(spark, sf))
 
 
-CONF_SQL = ("SELECT count_if(pred >= 0 AND target >= 0) AS tp, count_if(pred < 0 AND target >= 0) AS fn, "
+CONF_SQL = ("SELECT count_if(pred > 0 AND target >= 0) AS tp, count_if(pred <= 0 AND target >= 0) AS fn, "
             "count_if(pred < 0 AND target < 0) AS tn, count_if(pred >= 0 AND target < 0) AS fp FROM scored")
 
 

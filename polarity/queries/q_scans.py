@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from polarity.operators.audit import by_source, export_clean, lookup, lookup_list, text_audit
-from polarity.operators.ids import dense_ids
-from polarity.operators.scoring import last_label, route_errors, upsert_scores
+from polarity.operators.scoring import batch_report, last_label, route_errors, upsert_scores
+from polarity.operators.trends import categories
 from polarity.plans import testbed as tb
 from polarity.queries.registry import register, with_ctes, words_sql
-from polarity.sources.tables import (load_table, ordered, scan_category, scan_labelled,
-                                     scan_labelled_since, scan_queue, scan_unscored)
+from polarity.session import scratch_path
+from polarity.sources.sinks import append_corpus, write_corpus
+from polarity.sources.tables import (load_table, newest_date, ordered, scan_category, scan_labelled,
+                                     scan_labelled_since, scan_queue, scan_unscored, table_size)
 
 NEWS = ("news", tb.NEWS_SQL)
 
@@ -45,7 +47,7 @@ def q_unscored_scan(spark, sf):
 
 @register("limited_scan", with_ctes(
     NEWS, select=(f"SELECT text_id, date FROM news WHERE temote IS NULL AND date >= TIMESTAMP '{tb.WATERMARK}' "
-                  "ORDER BY text_id LIMIT 100")))
+                  "ORDER BY date, text_id LIMIT 100")))
 def q_limited_scan(spark, sf):
     """S3 + O4 with texts_limit = 100 (the limit is the feature)."""
     return scan_unscored(_news(spark, sf), tb.WATERMARK, limit=100).select("text_id", "date")
@@ -132,14 +134,13 @@ def q_ordered_texts(spark, sf):
 
 @register("table_size", "SELECT count(*) AS n_rows FROM documents")
 def q_table_size(spark, sf):
-    return tb.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n_rows"))
+    return table_size(tb.table(spark, sf, "documents"))
 
 
 @register("newest_date", with_ctes(NEWS, select="SELECT max(date) AS newest FROM news WHERE myemote IS NOT NULL"))
 def q_newest_date(spark, sf):
     """Newest date of the labelled texts (nulls ignored)."""
-    n = _news(spark, sf)
-    return n.where(F.col("myemote").isNotNull()).agg(F.max("date").alias("newest"))
+    return newest_date(_news(spark, sf), label="myemote")
 
 
 def _audit_sql(text: str) -> str:
@@ -155,17 +156,12 @@ def q_text_audit(spark, sf):
 
 @register("text_audit_by_lang", "SELECT lang, " + _audit_sql("text")[len("SELECT "):] + " FROM documents GROUP BY lang")
 def q_text_audit_by_lang(spark, sf):
-    from polarity.functions.text import text_state
-    d = tb.table(spark, sf, "documents").select("lang", text_state("text", tb.ACCENTED).alias("_s"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"),
-                                 F.count_if(F.col("_s") == "foreign").alias("foreign_texts"),
-                                 F.count_if(F.col("_s") == "empty").alias("empty_texts"))
+    return text_audit(tb.table(spark, sf, "documents"), "text", tb.ACCENTED, by="lang")
 
 
 @register("categories", "SELECT lang AS category, count(*) AS n_texts FROM documents GROUP BY lang")
 def q_categories(spark, sf):
-    d = tb.table(spark, sf, "documents")
-    return d.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n_texts"))
+    return categories(tb.table(spark, sf, "documents").withColumnRenamed("lang", "category"))
 
 
 @register("last_label", f"SELECT guid, arg_max(label, seq) AS label FROM ({tb.NEW_SCORES_SQL}) GROUP BY guid")
@@ -212,12 +208,11 @@ def q_append_ids(spark, sf):
     """K2: the corpus holds the labelled texts before 15 Jan with ids 1..N; newer labelled texts
     are appended with ids N+1.. in text_id order."""
     n = _news(spark, sf).where(F.col("myemote").isNotNull())
-    old = dense_ids(n.where(F.col("date") < F.lit("2024-01-15").cast("timestamp_ntz")).select("text_id"),
-                    "text_id", "corpus_id")
-    top = old.select(F.coalesce(F.max("corpus_id"), F.lit(0))).first()[0]
-    new = dense_ids(n.where(F.col("date") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("text_id"),
-                    "text_id", "corpus_id", start=top + 1)
-    return old.select("text_id", "corpus_id").unionByName(new.select("text_id", "corpus_id"))
+    day = F.lit("2024-01-15").cast("timestamp_ntz")
+    path = scratch_path(spark, "append-ids")
+    write_corpus(n.where(F.col("date") < day).select("text_id"), path)
+    append_corpus(n.where(F.col("date") >= day).select("text_id"), path)
+    return spark.read.parquet(path).select("text_id", "corpus_id")
 
 
 @register("batch_report", with_ctes(
@@ -229,8 +224,6 @@ def q_append_ids(spark, sf):
             f"AS scores FROM unscored")))
 def q_batch_report(spark, sf):
     """A19 for a scoring batch over the unscored texts: handled, routed to errors, scored."""
-    from polarity.functions.text import text_state
     d = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-    s = d.select(text_state("text", tb.ACCENTED).alias("_s"))
-    return s.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("_s") != "ok").alias("errors"),
-                 F.count_if(F.col("_s") == "ok").alias("scores"))
+    good, bad = route_errors(d, "doc_id", "text", tb.ACCENTED)
+    return batch_report(d, bad, good)

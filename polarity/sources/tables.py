@@ -19,10 +19,11 @@ def ordered(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(key)
 
 
-def limited(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows; ordered by key first so repeated runs return the same rows
-    (Spark plans this as TakeOrderedAndProject: a per-partition top-n, no full sort)."""
-    return df if n is None or n < 0 else df.orderBy(key).limit(n)
+def limited(df: DataFrame, key, n: int) -> DataFrame:
+    """At most n rows; ordered by the key (a column or several) first so repeated runs return
+    the same rows (Spark plans this as TakeOrderedAndProject: a per-partition top-n, no full sort)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df if n is None or n < 0 else df.orderBy(*keys).limit(n)
 
 
 def scan_labelled(news: DataFrame, label: str = "myemote", limit: int = -1,
@@ -34,19 +35,30 @@ def scan_labelled(news: DataFrame, label: str = "myemote", limit: int = -1,
 def scan_labelled_since(news: DataFrame, corpus: DataFrame, label: str = "myemote",
                         date: str = "date", limit: int = -1, key: str = "text_id") -> DataFrame:
     """Labelled rows newer than the newest date already stored in the corpus.
-    The newest date is a scalar subquery; an empty corpus means every labelled row."""
-    newest = corpus.select(F.max(date)).scalar()
-    cond = F.col(label).isNotNull() & (newest.isNull() | (F.col(date) > newest))
-    return limited(news.where(cond), key, limit)
+    The newest date is a scalar subquery; an empty corpus means every labelled row.  With a limit,
+    rows come in (date, key) order and the next run goes on behind the last stored pair, so a day
+    with more rows than the limit is finished before the next."""
+    cond = F.col(label).isNotNull()
+    if limit is None or limit < 0:
+        newest = corpus.select(F.max(date)).scalar()
+        return news.where(cond & (newest.isNull() | (F.col(date) > newest)))
+    newest = corpus.select(F.max(F.struct(F.col(date), F.col(key)))).scalar()
+    return limited(news.where(cond & (newest.isNull() | (F.struct(F.col(date), F.col(key)) > newest))), [date, key], limit)
 
 
 def scan_unscored(news: DataFrame, since, score: str = "temote", date: str = "date",
                   limit: int = -1, key: str = "text_id") -> DataFrame:
-    """S3: rows at or after the watermark (inclusive) that have no machine score yet."""
+    """S3: rows at or after the watermark (inclusive) that have no machine score yet.  With a limit,
+    rows come in (date, key) order, so the newest date handed out is a safe watermark.  ``since``
+    may be a (date, key) pair, the last row handled: rows behind it follow, and a day with more
+    rows than the limit cannot stall."""
     cond = F.col(score).isNull()
-    if since is not None:
+    if isinstance(since, tuple):
+        day, last = F.lit(since[0]).cast("timestamp_ntz"), F.lit(since[1])
+        cond = cond & ((F.col(date) > day) | ((F.col(date) == day) & (F.col(key) > last)))
+    elif since is not None:
         cond = cond & (F.col(date) >= F.lit(since).cast("timestamp_ntz"))
-    return limited(news.where(cond), key, limit)
+    return limited(news.where(cond), [date, key], limit)
 
 
 def scan_queue(queue: DataFrame, texts: DataFrame, limit: int | None = None, key: str = "id",
@@ -68,6 +80,16 @@ def pick_fields(df: DataFrame, with_title: bool = True, with_text: bool = True,
     return df.withColumn("content", F.concat_ws(" ", *cols))
 
 
+def table_size(df: DataFrame) -> DataFrame:
+    """Number of rows of a table."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def newest_date(df: DataFrame, date: str = "date", label: str | None = None) -> DataFrame:
+    """The newest date, with ``label`` of the rows that have one."""
+    return (df if label is None else df.where(F.col(label).isNotNull())).agg(F.max(date).alias("newest"))
+
+
 def scan_category(news: DataFrame, category: str, with_title: bool = True,
                   with_text: bool = True, category_col: str = "category") -> DataFrame:
     """Texts of one category with the chosen fields."""

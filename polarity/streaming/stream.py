@@ -3,8 +3,9 @@
 
 The reference buffers messages in a file and scores the buffer once it holds 100 texts.  Here
 the buffer is streaming state per shard (applyInPandasWithState): rows wait in state until
-``threshold`` of them are there, a full batch is emitted, the rest stays; an optional time-out
-flushes a short tail.  State per shard never exceeds threshold - 1 rows after a trigger.
+``threshold`` of them are there, a full batch is emitted, the rest stays; a time-out flushes a short
+tail, and so does the end of a run over what is available.  State per shard never exceeds
+threshold - 1 rows after a trigger.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from polarity.config import CYRILLIC_WORD, SCORING_BATCH, Settings
 from polarity.functions.text import clean, text_state
+from polarity.session import remove_path, table_path, write_table
 
-BATCH_SCHEMA = "shard int, batch_no long, id string, text string"
-STATE_SCHEMA = "ids array<string>, texts array<string>, next_batch long"
+BATCH_SCHEMA = "shard int, batch_no long, seq long, id string, text string"
+STATE_SCHEMA = "ids array<string>, texts array<string>, next_batch long, next_seq long"
 
 
 def intake(messages: DataFrame, pattern: str = CYRILLIC_WORD) -> DataFrame:
@@ -30,66 +32,81 @@ def intake(messages: DataFrame, pattern: str = CYRILLIC_WORD) -> DataFrame:
                            text_state("text", pattern).alias("state"))
 
 
-def _count_batcher(threshold: int, timeout_ms: int | None):
+def _count_batcher(threshold: int, timeout_ms: int | None, flush: bool):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shard = int(key[0])
         if state.exists:
-            ids, texts, nxt = state.get
+            ids, texts, batch, seq = state.get
             ids, texts = list(ids), list(texts)
         else:
-            ids, texts, nxt = [], [], 0
-        if state.hasTimedOut:  # flush the short tail
-            if ids:
-                yield pd.DataFrame({"shard": shard, "batch_no": nxt, "id": ids, "text": texts})
-            state.remove()
-            return
-        for pdf in pdfs:
-            ids.extend(pdf["id"].tolist())
-            texts.extend(pdf["text"].tolist())
-            while len(ids) >= threshold:
-                yield pd.DataFrame({"shard": shard, "batch_no": nxt, "id": ids[:threshold],
-                                    "text": texts[:threshold]})
-                ids, texts, nxt = ids[threshold:], texts[threshold:], nxt + 1
-        state.update((ids, texts, nxt))
+            ids, texts, batch, seq = [], [], 0, 0
+
+        def release(n):
+            return pd.DataFrame({"shard": shard, "batch_no": batch, "seq": range(seq, seq + n), "id": ids[:n], "text": texts[:n]})
+
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                ids.extend(pdf["id"].tolist())
+                texts.extend(pdf["text"].tolist())
+                while len(ids) >= threshold:
+                    yield release(threshold)
+                    ids, texts, batch, seq = ids[threshold:], texts[threshold:], batch + 1, seq + threshold
+        if ids and (flush or state.hasTimedOut):  # the short tail
+            n = len(ids)
+            yield release(n)
+            ids, texts, batch, seq = [], [], batch + 1, seq + n
+        state.update((ids, texts, batch, seq))      # batch and row numbers go on, they never repeat
         if timeout_ms is not None and ids:
             state.setTimeoutDuration(timeout_ms)
     return fn
 
 
-def batch_by_count(stream: DataFrame, threshold: int = SCORING_BATCH, shards: int = 1,
-                   timeout_ms: int | None = None, key: str = "id") -> DataFrame:
-    """(shard, batch_no, id, text) rows, released in batches of exactly ``threshold`` per
-    shard; ``shards`` > 1 spreads the stream by a hash of the key (1 = the reference)."""
+def batch_by_count(stream: DataFrame, threshold: int = SCORING_BATCH, shards: int | None = None,
+                   timeout_ms: int | None = None, key: str = "id", flush: bool = False) -> DataFrame:
+    """(shard, batch_no, seq, id, text) rows, released in batches of exactly ``threshold`` per
+    shard; seq numbers a shard's rows as they came.  The stream is spread by a hash of the key over
+    ``shards`` (default: the session's parallelism; 1 = the reference's single buffer).  ``flush``
+    releases the short tail at the end of every micro-batch."""
+    if shards is None:
+        shards = stream.sparkSession.sparkContext.defaultParallelism
     shard = F.pmod(F.hash(F.col(key)), F.lit(shards)).cast("int").alias("shard")
     t = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
     return (stream.select(shard, F.col(key).alias("id"), "text").groupBy("shard")
-            .applyInPandasWithState(_count_batcher(threshold, timeout_ms), BATCH_SCHEMA, STATE_SCHEMA,
+            .applyInPandasWithState(_count_batcher(threshold, timeout_ms, flush), BATCH_SCHEMA, STATE_SCHEMA,
                                     "append", t))
 
 
 def score_batch(batch: DataFrame, batch_id: int, model, dictionary: DataFrame, settings: Settings,
-                scores_path: str) -> None:
-    """T3 + T5: score one micro-batch and write its scores to ``scores_path/batch=<id>``.
-    Rows are deduplicated by key and the batch folder is overwritten, so a replayed batch
+                scores_path: str, lemma_dict: DataFrame | None = None) -> None:
+    """T3 + T5: prepare (clean, lemmatise), score and write one micro-batch: scores to
+    ``scores_path/batch=<id>``, texts without words to ``<scores_path>-errors/batch=<id>``.  Of rows
+    with one key the last that came is scored; the folders are overwritten, so a replayed batch
     (after a failure) leaves exactly one copy."""
+    from polarity.operators.scoring import last_rows, route_errors
     from polarity.operators.svm import predict
     from polarity.operators.vectors import score_space
-    texts = batch.select(F.col("id").alias("guid"), "text").dropDuplicates(["guid"])
-    pred = predict(model, score_space(texts, dictionary, settings), "guid")
-    (pred.withColumn("batch", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").parquet(os.path.join(scores_path, f"batch={batch_id}")))
+    from polarity.plans.jobs import prepare
+    texts = write_table(last_rows(batch.select(F.col("id").alias("guid"), "text", "seq"), "guid", ["seq"]).drop("seq"), "stream-batch")
+    good, bad = route_errors(texts, "guid", "text", settings.pattern)
+    bad.write.mode("overwrite").parquet(os.path.join(f"{scores_path}-errors", f"batch={batch_id}"))
+    ready = prepare(good, lemma_dict, settings, "guid").select("guid", F.col("lemma_text").alias("text"))
+    pred = predict(model, score_space(ready, dictionary, settings), "guid")
+    pred.write.mode("overwrite").parquet(os.path.join(scores_path, f"batch={batch_id}"))
+    remove_path(texts.sparkSession, table_path(texts))
 
 
 def score_stream(stream: DataFrame, model, dictionary: DataFrame, settings: Settings,
                  scores_path: str, checkpoint: str, threshold: int = SCORING_BATCH,
-                 shards: int = 1, timeout_ms: int | None = None, trigger: dict | None = None):
-    """Messages -> count-triggered batches -> scores written per micro-batch.
+                 shards: int | None = None, timeout_ms: int | None = None, trigger: dict | None = None,
+                 lemma_dict: DataFrame | None = None):
+    """Messages -> count-triggered batches -> prepared as in the batch job -> scores written per
+    micro-batch.  A run over what is available flushes its tail, so every message is scored.
     Returns the started StreamingQuery."""
-    batches = batch_by_count(stream, threshold, shards, timeout_ms)
+    trigger = trigger or {"availableNow": True}
+    batches = batch_by_count(stream, threshold, shards, timeout_ms, flush=timeout_ms is None and bool(trigger.get("availableNow") or trigger.get("once")))
     w = (batches.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: score_batch(df, bid, model, dictionary, settings, scores_path)))
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+         .foreachBatch(lambda df, bid: score_batch(df, bid, model, dictionary, settings, scores_path, lemma_dict)))
+    return w.trigger(**trigger).start()
 
 
 def current_scores(spark, scores_path: str) -> DataFrame:
@@ -98,6 +115,12 @@ def current_scores(spark, scores_path: str) -> DataFrame:
     return s.groupBy("guid").agg(F.max_by("label", "batch").alias("label"))
 
 
+def written_back(news: DataFrame, scores_path: str) -> DataFrame:
+    """K8 of the stream: the texts with their streamed scores applied by key."""
+    from polarity.operators.scoring import upsert_scores
+    return upsert_scores(news, current_scores(news.sparkSession, scores_path), "guid", "temote", "label", seq=None)
+
+
 def poll_new(news: DataFrame, watermark_path: str, score: str = "temote", date: str = "date") -> DataFrame:
     """T4 (batch form): unscored rows at or after the stored watermark; nothing stored -> all."""
     from polarity.sources.sinks import load_watermark

@@ -55,7 +55,7 @@ def test_stream_equals_batch(spark, tmp):
     q = score_stream(read_messages(spark, "text", src), model, d, s, out, os.path.join(tmp, "ck3"), threshold=50)
     q.awaitTermination()
     streamed = {r["guid"]: r["label"] for r in current_scores(spark, out).collect()}
-    assert len(streamed) == 100  # two full batches of 50; 20 wait for more
+    assert len(streamed) == 120  # the end of the run flushes what is short of a batch
     texts = spark.read.text(src).select(F.split("value", "\t").getItem(0).alias("guid"),
                                          F.split("value", "\t").getItem(1).alias("text"))
     batch = {r["guid"]: r["label"] for r in predict(model, score_space(texts, d, s), "guid").collect()}
@@ -68,11 +68,13 @@ def test_replayed_batch_written_once(spark, tmp):
     corpus = spark.createDataFrame([(0, "хороший день", 1), (1, "плохой день", -1)], "doc_id long, text string, emotion int")
     d = build_dictionary(corpus, s)
     model = train_svm(vector_space(corpus, d, s), 10, s)
-    batch = spark.createDataFrame([("a", "хороший день"), ("a", "хороший день"), ("b", "плохой")], "id string, text string")
+    batch = spark.createDataFrame([("a", "плохой день", 0), ("a", "хороший день", 2), ("b", "плохой", 1), ("c", "", 3)], "id string, text string, seq long")
     out = os.path.join(tmp, "scores")
     score_batch(batch, 3, model, d, s, out)
     score_batch(batch, 3, model, d, s, out)  # replay after a failure
-    assert spark.read.parquet(out).count() == 2
+    labels = {r["guid"]: r["label"] for r in spark.read.parquet(out).collect()}
+    assert labels == {"a": 1, "b": -1}  # of one key the last that came
+    assert [(r["guid"], r["reason"]) for r in spark.read.parquet(out + "-errors").collect()] == [("c", "empty")]
 
 
 def test_timeout_flushes_tail(spark, tmp):
@@ -91,3 +93,55 @@ def test_timeout_flushes_tail(spark, tmp):
         q.stop()
     rows = spark.sql("SELECT batch_no, count(*) AS n FROM batches_to GROUP BY batch_no ORDER BY batch_no").collect()
     assert [(r["batch_no"], r["n"]) for r in rows] == [(0, 100), (1, 100), (2, 50)]
+
+
+def test_stream_equals_batch_job(spark, tmp):
+    """P8 = P7: lemmas, errors, repeated keys, write-back, every one of 250 messages scored."""
+    from polarity.plans import jobs
+    from polarity.streaming.stream import written_back
+    s = Settings(ngram_size=2, n_classes=2)
+    lemmas = spark.createDataFrame([("хорошие", "хороший", "A"), ("плохие", "плохой", "A"), ("плохие", "плохо", "ADV"), ("дни", "день", "S")],
+                                   "form string, lemma string, pos string")
+    corpus = spark.createDataFrame([(0, "хороший день", 1), (1, "плохо день", -1)], "doc_id long, text string, emotion int")
+    d = build_dictionary(corpus, s)
+    model = train_svm(vector_space(corpus, d, s), 10, s)
+    texts = ["хорошие дни", "плохие дни", "latin only", "дни", ""]
+    src = os.path.join(tmp, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "m.txt"), "w") as f:
+        for i in range(250):
+            f.write(f"id{i:04d}\t{texts[i % 5]}\n")
+        f.write("no tab\n")
+    out = os.path.join(tmp, "scores")
+    score_stream(read_messages(spark, "text", src), model, d, s, out, os.path.join(tmp, "ck"), threshold=100, lemma_dict=lemmas).awaitTermination()
+    news = spark.createDataFrame([(i, f"id{i:04d}", texts[i % 5], None) for i in range(250)], "text_id long, guid string, text string, temote int")
+    news = news.withColumn("date", F.lit("2024-01-01").cast("timestamp_ntz"))
+    batch = {r["guid"]: r["temote"] for r in jobs.score_batch(news, model, d, os.path.join(tmp, "state"), lemmas, s).collect()}
+    assert {r["guid"]: r["temote"] for r in written_back(news, out).collect()} == batch
+    assert sum(v is not None for v in batch.values()) == 150
+    assert spark.read.parquet(out + "-errors").count() == 101
+
+
+def test_batch_numbers_go_on_after_a_time_out():
+    import pandas as pd
+    from polarity.streaming.stream import _count_batcher
+
+    class State:
+        exists, hasTimedOut, kept = False, False, None
+
+        @property
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.exists, self.kept = True, v
+
+        def setTimeoutDuration(self, ms):
+            pass
+
+    state, fn, seen = State(), _count_batcher(2, 10, False), []
+    for rows, late in ((3, False), (0, True), (1, False), (0, True)):
+        state.hasTimedOut = late
+        for pdf in fn((0,), [pd.DataFrame({"id": ["k"] * rows, "text": ["t"] * rows})], state):
+            seen += list(zip(pdf["batch_no"], pdf["seq"]))
+    assert seen == [(0, 0), (0, 1), (1, 2), (2, 3)]
