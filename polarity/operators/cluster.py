@@ -8,7 +8,8 @@ sums come back through a partial aggregation (k rows), which is all the driver s
 
 from __future__ import annotations
 
-import math
+import json
+import warnings
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,7 +36,8 @@ def _centroid_array(centroids) -> Column:
     if isinstance(centroids, DataFrame):
         arr = centroids.select(F.sort_array(F.collect_list(F.struct("cluster", "features"))).alias("a"))
         return arr.select(F.transform("a", lambda s: s["features"].cast("array<double>"))).scalar()
-    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    # one literal value, whatever k and the dimension
+    return F.from_json(F.lit(json.dumps([[float(x) for x in c] for c in centroids])), "array<array<double>>")
 
 
 def assign_clusters(points: DataFrame, centroids, metric: str = "euclidean",
@@ -93,11 +95,11 @@ def seed_centroids(points: DataFrame, k: int, metric: str = "euclidean", seed: i
     return cents
 
 
-def kmeans(points: DataFrame, k: int, metric: str = "euclidean", max_iter: int = 20,
+def kmeans(points: DataFrame, k: int, metric: str = "euclidean", max_iter: int = 100,
            seed: int = 7, init=None, tol: float = 0.0, key: str = "id",
            features: str = "features") -> tuple[DataFrame, list, int]:
-    """M8: Lloyd iterations until the assignment no longer changes (centroids stop moving) or
-    max_iter.  Returns (assignments (key, cluster), centroids, iterations)."""
+    """M8: Lloyd iterations until the assignment no longer changes (centroids stop moving); a run
+    that is cut off by max_iter before that warns.  Returns (assignments (key, cluster), centroids, iterations)."""
     pts = points.select(key, F.col(features).cast("array<double>").alias(features)).persist()
     cents = [list(map(float, c)) for c in init] if init is not None else \
         seed_centroids(pts, k, metric, seed, 1, key, features)
@@ -110,11 +112,13 @@ def kmeans(points: DataFrame, k: int, metric: str = "euclidean", max_iter: int =
         cents = new
         if moved <= tol:
             break
+    else:
+        warnings.warn(f"k-means: centroids still move after max_iter={max_iter} rounds", stacklevel=2)
     out = assign_clusters(pts, cents, metric, features).select(key, "cluster")
     return out, cents, it
 
 
-def kmeans_ml(points: DataFrame, k: int, max_iter: int = 20, seed: int = 7, key: str = "id",
+def kmeans_ml(points: DataFrame, k: int, max_iter: int = 100, seed: int = 7, key: str = "id",
               features: str = "features") -> DataFrame:
     """M8 for Euclidean distance with Spark ML (k-means|| seeding): (key, cluster)."""
     from pyspark.ml.clustering import KMeans
@@ -125,38 +129,25 @@ def kmeans_ml(points: DataFrame, k: int, max_iter: int = 20, seed: int = 7, key:
 
 # ---------------------------------------------------------------- self-organising map
 
-def grid(rows: int, cols: int) -> list[tuple[int, int, int]]:
-    return [(r * cols + c, r, c) for r in range(rows) for c in range(cols)]
-
-
-def neighbourhood(rows: int, cols: int, sigma: float) -> DataFrame | list:
-    """(unit, bmu, h) for all unit pairs of the map grid: h = exp(-grid_dist^2 / (2 sigma^2)).
-    The table has (rows*cols)^2 rows, bounded by the map size."""
-    g = grid(rows, cols)
-    return [(u, b, math.exp(-((ru - rb) ** 2 + (cu - cb) ** 2) / (2 * sigma * sigma)))
-            for u, ru, cu in g for b, rb, cb in g]
+def _kernel(n: int, sigma: float) -> np.ndarray:
+    d = np.subtract.outer(np.arange(n), np.arange(n))
+    return np.exp(-(d * d) / (2 * sigma * sigma))
 
 
 def som_step(points: DataFrame, codebook: list, rows: int, cols: int, sigma: float,
              features: str = "features") -> DataFrame:
-    """One batch-SOM step: best unit per point (J8), per-unit sums (k rows), then each unit's
-    new weights = sum_b h(u,b) S_b / sum_b h(u,b) n_b (an equi-join with the bounded
-    neighbourhood table).  Returns (unit, features); a unit with no mass keeps its weights."""
-    spark = points.sparkSession
+    """One batch-SOM step: best unit per point (J8), per-unit sums (rows x cols rows come back, as
+    in k-means), then each unit's new weights = sum_b h(u,b) S_b / sum_b h(u,b) n_b with a Gaussian
+    h of the grid distance, applied along the rows and then along the columns.  Returns (unit,
+    features); a unit with no mass keeps its weights."""
     a = assign_clusters(points, codebook, "euclidean", features)
-    per = update_centroids(a, features).select(
-        F.col("cluster").alias("bmu"), "n",
-        F.transform("features", lambda x: x * F.col("n")).alias("s"))
-    h = spark.createDataFrame(neighbourhood(rows, cols, sigma), "unit int, bmu int, h double")
-    j = h.join(per, "bmu")
-    dim = len(codebook[0])
-    num = [F.sum(F.col("h") * F.col("s")[i]).alias(f"_s{i}") for i in range(dim)]
-    g = j.groupBy("unit").agg(F.sum(F.col("h") * F.col("n")).alias("_den"), *num)
-    new = g.select("unit", F.array(*[F.col(f"_s{i}") / F.col("_den") for i in range(dim)]).alias("features"))
-    old = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(codebook)],
-                                "unit int, old array<double>")
-    return old.join(new, "unit", "left").select(
-        "unit", F.when(F.col("features").isNull(), F.col("old")).otherwise(F.col("features")).alias("features"))
+    old = np.array(codebook, float)
+    mass = np.zeros((rows * cols, old.shape[1] + 1))
+    for r in update_centroids(a, features).collect():
+        mass[r["cluster"]] = [r["n"], *(np.array(r["features"], float) * r["n"])]
+    spread = np.einsum("ir,jc,rcd->ijd", _kernel(rows, sigma), _kernel(cols, sigma), mass.reshape(rows, cols, -1)).reshape(mass.shape)
+    new = np.where(spread[:, :1] > 0, spread[:, 1:] / np.where(spread[:, :1] > 0, spread[:, :1], 1.0), old)
+    return points.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(new)], "unit int, features array<double>")
 
 
 def som(points: DataFrame, rows: int, cols: int, iters: int = 10, seed: int = 7,

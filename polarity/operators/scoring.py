@@ -11,9 +11,10 @@ from polarity.functions.text import text_state
 
 def last_label(scores: DataFrame, key: str = "guid", seq: str = "seq",
                label: str = "label") -> DataFrame:
-    """One label per key, the one with the largest sequence value (last write wins).
+    """One label per key, the one with the largest sequence value (last write wins; of equal
+    sequence values the largest label).
     max_by is a plain aggregate: partial per task, so a hot key never gathers its rows."""
-    return scores.groupBy(key).agg(F.max_by(label, seq).alias(label))
+    return scores.groupBy(key).agg(F.max_by(label, F.struct(seq, label)).alias(label))
 
 
 def upsert_scores(texts: DataFrame, scores: DataFrame, key: str = "guid",

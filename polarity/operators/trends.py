@@ -44,7 +44,7 @@ def drop_clusters(word_df: DataFrame, assign: DataFrame, ids, word: str = "word"
     return word_df.join(drop, word, "left_anti")
 
 
-def cluster_words(word_df: DataFrame, k: int, metric: str = "euclidean", max_iter: int = 20,
+def cluster_words(word_df: DataFrame, k: int, metric: str = "euclidean", max_iter: int = 100,
                   seed: int = 7, centroids=None) -> DataFrame:
     """Cluster the trend words on their frequency features: (word, cluster)."""
     f = word_features(word_df)

@@ -140,17 +140,17 @@ TEXTS_WITH_SCORES_SQL = (f"SELECT CAST(d.doc_id AS VARCHAR) AS guid, {EMOTION_SQ
 
 
 def new_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(guid, seq, label): click events as a stream of scores; doc = event_id mod #documents,
+    """(guid, seq, label): the events as a stream of scores; doc = event_id mod #documents,
     seq = ts, label = floor(value) mod 5 - 2."""
     n = table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "click")
+    ev = table(spark, sf_dir, "events")
     return ev.select((F.col("event_id") % n).cast("string").alias("guid"), F.col("ts").alias("seq"),
                      ((F.floor("value").cast("bigint") % 5) - 2).cast("int").alias("label"))
 
 
 NEW_SCORES_SQL = ("SELECT CAST(event_id % (SELECT count(*) FROM documents) AS VARCHAR) AS guid, ts AS seq, "
                   "CAST(CAST(floor(value) AS BIGINT) % 5 - 2 AS INTEGER) AS label "
-                  "FROM events WHERE event_type = 'click'")
+                  "FROM events")
 
 
 def predictions(df: DataFrame, key: str = "n_chars") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from polarity.operators.cluster import (assign_clusters, kmeans, kmeans_ml, seed_weights, som,
@@ -109,8 +111,9 @@ SOM_ROWS, SOM_COLS, SOM_SIGMA = 2, 5, 1.0
 
 
 def _som_sql() -> str:
-    from polarity.operators.cluster import neighbourhood
-    h = ", ".join(f"({u}, {b}, {v!r})" for u, b, v in neighbourhood(SOM_ROWS, SOM_COLS, SOM_SIGMA))
+    units = [(r, c) for r in range(SOM_ROWS) for c in range(SOM_COLS)]
+    h = ", ".join(f"({u}, {b}, {math.exp(-((ru - rb) ** 2 + (cu - cb) ** 2) / (2 * SOM_SIGMA ** 2))!r})"
+                  for u, (ru, cu) in enumerate(units) for b, (rb, cb) in enumerate(units))
     return with_ctes(
         ("pts", PTS_SQL), ("start", START_SQL), _assign_sql(_sq("p.x", "s.c")), ("long", LONG_SQL),
         ("per", "SELECT a.cluster AS bmu, g.dim, count(*) AS n, sum(g.v) AS s FROM long g "
@@ -135,18 +138,18 @@ def q_som_step(spark, sf):
 def q_kmeans(spark, sf):
     """M8 with Spark ML (Euclidean, k-means|| seeding), k = 10."""
     p = _points(spark, sf)
-    return kmeans_ml(p, 10, max_iter=20, seed=7, key="vec_id")
+    return kmeans_ml(p, 10, seed=7, key="vec_id")
 
 
 @register("kmeans_manhattan")
 def q_kmeans_manhattan(spark, sf):
     """M8 loop with Manhattan distance and k-means++ style seeding, k = 10."""
-    out, _, _ = kmeans(_points(spark, sf), 10, "manhattan", max_iter=20, seed=7, key="vec_id")
+    out, _, _ = kmeans(_points(spark, sf), 10, "manhattan", seed=7, key="vec_id")
     return out
 
 
 @register("som")
 def q_som(spark, sf):
-    """A 2 x 5 map, 8 batch iterations."""
-    out, _ = som(_points(spark, sf), SOM_ROWS, SOM_COLS, iters=8, seed=7, key="vec_id")
+    """A 2 x 5 map."""
+    out, _ = som(_points(spark, sf), SOM_ROWS, SOM_COLS, seed=7, key="vec_id")
     return out

@@ -164,14 +164,14 @@ def q_categories(spark, sf):
     return categories(tb.table(spark, sf, "documents").withColumnRenamed("lang", "category"))
 
 
-@register("last_label", f"SELECT guid, arg_max(label, seq) AS label FROM ({tb.NEW_SCORES_SQL}) GROUP BY guid")
+@register("last_label", f"SELECT guid, arg_max(label, (seq, label)) AS label FROM ({tb.NEW_SCORES_SQL}) GROUP BY guid")
 def q_last_label(spark, sf):
     return last_label(tb.new_scores(spark, sf))
 
 
 @register("score_writeback", with_ctes(
     ("texts", tb.TEXTS_WITH_SCORES_SQL),
-    ("s", f"SELECT guid, arg_max(label, seq) AS label FROM ({tb.NEW_SCORES_SQL}) GROUP BY guid"),
+    ("s", f"SELECT guid, arg_max(label, (seq, label)) AS label FROM ({tb.NEW_SCORES_SQL}) GROUP BY guid"),
     select="SELECT t.guid, coalesce(s.label, t.temote) AS temote FROM texts t LEFT JOIN s ON t.guid = s.guid"))
 def q_score_writeback(spark, sf):
     """K8: new scores (last one per key wins) written back over the texts by key."""

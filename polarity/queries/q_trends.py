@@ -67,4 +67,4 @@ def q_drop_clusters(spark, sf):
 @register("word_clusters")
 def q_word_clusters(spark, sf):
     """K-means (k = 4) over the trend-word features."""
-    return cluster_words(_tw(spark, sf), 4, "euclidean", max_iter=20, seed=7)
+    return cluster_words(_tw(spark, sf), 4, "euclidean", seed=7)
