@@ -134,4 +134,4 @@ def q_euclidean(spark, sf):
     select="SELECT d.doc_id, coalesce(lt.lemma_text, '') AS lemma_text FROM documents d LEFT JOIN lt ON d.doc_id = lt.doc_id"))
 def q_lemmatise(spark, sf):
     d = tb.table(spark, sf, "documents").select("doc_id", "text")
-    return lemmatise(d, tb.lemma_dict(spark, sf), "doc_id", "text", LETTER_WORD).select("doc_id", "lemma_text")
+    return lemmatise(d, tb.lemma_dict(spark, sf), "doc_id", "text", LETTER_WORD, unique=True).select("doc_id", "lemma_text")
