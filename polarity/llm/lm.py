@@ -82,7 +82,7 @@ def _bounds(distinct: np.ndarray, parts: int) -> np.ndarray:
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, id, text) as one compressed bundle for each block in a batch."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
         order = np.argsort(blocks := batch.column(0).to_numpy(), kind="stable")
         edges = np.flatnonzero(np.diff(blocks[order], prepend=-1)).tolist()
@@ -103,8 +103,11 @@ def _unbundle(bundles: pa.Table) -> pa.Table:
 
 def _requests(order: int, parts: int):
     def run(bundles: pa.Table) -> pa.Table:
-        _, _, hashes, _ = _ngrams(_unbundle(bundles)["text"].combine_chunks(), order)
-        distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        hashes = np.concatenate(_ngrams(_unbundle(bundles)["text"].combine_chunks(), order)[2])
+        hashes.sort()
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[:len(hashes)])
+        distinct, counts = hashes[first], np.diff(first, append=len(hashes))
+        del hashes
         bounds = _bounds(distinct, parts)
         out = [(p, _pack(np.diff(distinct[s:e], prepend=np.uint64(0))), _pack(counts[s:e].astype(np.uint32)))
                for p, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if e > s]
@@ -137,13 +140,19 @@ def _scores(order: int, alpha: float):
         in_order = np.argsort(np.array(answers["part"].to_pylist(), np.int64))
         totals = [_unpack(answers["totals"][int(i)].as_py(), np.uint64).astype(np.int64) for i in in_order]
         totals = np.concatenate(totals) if totals else np.empty(0, np.int64)
-        distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        hashes = np.concatenate(hashes)
+        o = np.argsort(hashes).astype(np.int32)
+        new = hashes[o[1:]] != hashes[o[:-1]]
+        number = np.empty(len(hashes), np.int32)            # of each position's n-gram among the block's
+        number[o] = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])[:len(hashes)]
+        n_distinct = int(new.sum()) + 1
+        del hashes, o, new
         # counts outside the position's document, by order; -1 where the n-gram would begin before it
         other, start = [], 0
         for here in at:
             num = number[start:start + len(here)]
             start += len(here)
-            key = doc[here] * len(distinct) + num
+            key = doc[here] * n_distinct + num
             o = np.argsort(key)
             new = np.ones(len(key), bool)
             new[1:] = key[o][1:] != key[o][:-1]
