@@ -75,6 +75,12 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 16) ->
     return out
 
 
+def sketch_bits(m: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, 0 or 1.  Of the mixed minimum: the lowest bit of a * x + b is that of
+    x, b alone deciding whether it is turned, so unmixed every function would tell the same of x."""
+    return mix(m.astype(np.uint64)) & np.uint64(1)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest, bands, s0..s7) per row: set size, 128-bit digest of the set, band hashes,
     512 one-bit minima."""
@@ -91,8 +97,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     m = minima((s >> np.uint64(32)).astype(np.uint32), a, b)
                     bands.append(mix((m.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64)))
-                    low = (m[:_BITS] & np.uint32(1)).astype(np.uint64).reshape(8, 64)
-                    bits.append((low * bit).sum(axis=1, dtype=np.uint64))
+                    bits.append((sketch_bits(m[:_BITS]).reshape(8, 64) * bit).sum(axis=1, dtype=np.uint64))
                 bits = np.array(bits, np.uint64).reshape(-1, 8).view(np.int64)
                 offsets = pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32))
                 flat = np.concatenate(bands).view(np.int64) if bands else np.empty(0, np.int64)

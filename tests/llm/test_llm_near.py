@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from llm_cases import as_docs, edge_rows, prose, shingles_of
 
 from polarity.llm.components import components
-from polarity.llm.near import keep_one, near_components
+from polarity.llm.near import _least_bits, _parameters, keep_one, minima, near_components, sketch_bits
 
 
 def brute(rows, percent=75):
@@ -62,6 +63,37 @@ def test_families_equal_brute_force(spark, most):
     assert sorted([(r.id, r.n, r.component_id) for r in got], key=repr) == brute(rows)
 
 
+def short_pairs():
+    """Near pairs of 7 to 30 words: a word more at the end, or another last word."""
+    out = []
+    for n in [7] * 60 + [8] * 40 + [10] * 40 + [11] * 40 + list(range(12, 31)):
+        rng = random.Random(len(out))
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        out.append((" ".join(words), " ".join([*words, "more"])))
+        if n > 10:
+            out.append((" ".join(words), " ".join([*words[:-1], "other"])))
+    return out
+
+
+def test_short_near_pairs_equal_brute_force(spark):
+    """Sets of a few shingles at and just above the threshold pass the signature too."""
+    rows = [(i, t, "s") for i, t in enumerate(t for pair in short_pairs() for t in pair)]
+    got = near_components(as_docs(spark, rows)).collect()
+    assert sorted([(r.id, r.n, r.component_id) for r in got], key=repr) == brute(rows)
+
+
+def test_signature_bits_of_small_sets_are_independent():
+    """Shingles that one set has more, the others' lowest bit against theirs: no link is refused."""
+    a, b = _parameters(512)
+    rng = np.random.default_rng(3)
+    for k in (3, 4, 6, 9, 12):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 31, k + 1, dtype=np.uint32) * np.uint32(2)
+            x[-1] += np.uint32(1)
+            agree = (sketch_bits(minima(x[:-1], a, b)) == sketch_bits(minima(x, a, b))).sum()
+            assert agree >= _least_bits(75)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_equal_brute_force(spark, seed):
     rng = random.Random(seed)
