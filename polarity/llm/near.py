@@ -15,13 +15,15 @@ Links are found without pairing buckets up:
    shingles of its own meets nobody).
 
 A candidate passes a size bound, then signature verification (512 one-bit minima, six standard
-deviations below the threshold), then the exact test on the full sets.  Components come from
-alternating large-star and small-star; every round of links works on what the earlier ones joined.
+deviations below the threshold), then the exact test on the full sets.  Classes are
+known by the number of one of their rows (ids may repeat), and stand in sketches and texts as that
+row.  Components come from alternating large-star and small-star; every round of links works on what the earlier ones joined.
 All tables in between are written to the shared folder.
 
 Defined results: null, empty or word-less text has an empty set and no links; a row with a null
 id is never linked (component null, kept); rows that repeat an id each belong to their own
-text's class; all texts whole; columns other than id and text take no part.
+text's class, and of a component all rows with its smallest id stay; all texts whole; columns
+other than id and text take no part.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polarity.llm.common import ship_by_value
+from polarity.llm.common import located, ship_by_value
 from polarity.llm.components import components
 from polarity.llm.shingles import mix, shingle_sets
 from polarity.session import write_table
@@ -81,9 +83,9 @@ def sketch_bits(m: np.ndarray) -> np.ndarray:
     return mix(m.astype(np.uint64)) & np.uint64(1)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, bands, s0..s7) per row: set size, 128-bit digest of the set, band hashes,
-    512 one-bit minima."""
+def signatures(placed: DataFrame) -> DataFrame:
+    """(id, file, row, n, digest, bands, s0..s7) per row (id, file, row, text): set size, 128-bit
+    digest of the set, band hashes, 512 one-bit minima."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _parameters(BANDS * ROWS)
         weights = np.random.default_rng(5).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 sizes, digests, bands, bits = [], [], [], []
-                for s in shingle_sets(part.column(1)):
+                for s in shingle_sets(part.column(3)):
                     sizes.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     m = minima((s >> np.uint64(32)).astype(np.uint32), a, b)
@@ -102,13 +104,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 offsets = pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32))
                 flat = np.concatenate(bands).view(np.int64) if bands else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                    [*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(flat)), *(pa.array(bits[:, i]) for i in range(8))],
-                    names=["id", "n", "digest", "bands", *(f"s{i}" for i in range(8))])
+                    names=["id", "file", "row", "n", "digest", "bands", *(f"s{i}" for i in range(8))])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = placed.schema["id"].dataType.simpleString()
     sketch = ", ".join(f"s{i} bigint" for i in range(8))
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, digest binary, bands array<bigint>, {sketch}")
+    return placed.select("id", "file", "row", "text").mapInArrow(run, f"id {kind}, file string, row bigint, n bigint, digest binary, bands array<bigint>, {sketch}")
 
 
 def verified(candidates: DataFrame, percent: int) -> DataFrame:
@@ -197,23 +199,27 @@ def _lift(df: DataFrame, known: DataFrame, col: str) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: id, n (set size), component_id, kept, class_id (smallest id
-    of the same set)."""
-    rows = write_table(signatures(docs, id_col, text_col), "near-sign")
+    """One row per row of ``docs``: id, n (set size), component_id, class_id (smallest id of the
+    same set), file, row, kept."""
+    placed = located(docs)
+    file, row = placed.columns[-2:]
+    placed = placed.select(F.col(id_col).alias("id"), F.col(file).alias("file"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    rows = write_table(signatures(placed).withColumn("node", F.monotonically_increasing_id()), "near-sign")
     linkable = rows.filter("n > 0 AND id IS NOT NULL")
     # Copies collapse in each task before the exchange; equal sets have equal signatures.
-    classes = linkable.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    reps = linkable.groupBy("digest").agg(F.min("id").alias("rep"))
-    order = Window.partitionBy("bucket").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    classes = linkable.groupBy("digest").agg(F.min("node").alias("node"), F.first("bands").alias("bands"))
+    reps = linkable.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("rep"))
+    order = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     meets = write_table(
-        classes.select("rep", F.explode("bands").alias("bucket"))
-        .withColumn("first", F.first("rep").over(order)).filter("first < rep")
-        .select("bucket", F.col("first").alias("u"), F.col("rep").alias("v")), "near-meets")
+        classes.select("node", F.explode("bands").alias("bucket"))
+        .withColumn("first", F.first("node").over(order)).filter("first < node")
+        .select("bucket", F.col("first").alias("u"), F.col("node").alias("v")), "near-meets")
 
     nodes = meets.select(F.col("u").alias("node")).union(meets.select("v")).distinct()
-    sketches = write_table(rows.withColumnRenamed("id", "node").drop("bands", "digest").join(nodes, "node", "left_semi"), "near-sketches")
-    texts = write_table(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-                        .join(nodes, "node", "left_semi"), "near-texts")
+    one = rows.join(nodes, "node", "left_semi")        # a row for each class
+    sketches = write_table(one.select("node", "n", *[f"s{i}" for i in range(8)]), "near-sketches")
+    texts = write_table(placed.select("file", "row", "text").join(one.select("file", "row", "node"), ["file", "row"])
+                        .select("node", "text"), "near-texts")
 
     first = write_table(meets.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-first")
     known = _merge(None, _confirm(first, sketches, texts, percent))
@@ -237,16 +243,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cross = _prefix_pairs(member, texts, percent)
         known = _merge(known, _confirm(cross, sketches, texts, percent))
 
-    named = write_table(_lift(reps.withColumn("component", F.col("rep")), known, "component"), "near-classes")
-    out = rows.filter("n > 0 AND id IS NOT NULL").select("id", "n", "digest").join(named, "digest")
+    named = write_table(_lift(reps.withColumn("component", F.col("node")), known, "component"), "near-named")
+    label = write_table(named.groupBy("component").agg(F.min("rep").alias("label")), "near-labels")
+    named = write_table(named.join(label, "component").select("digest", "rep", "label"), "near-classes")
+    out = linkable.select("id", "n", "digest", "file", "row").join(named, "digest")
     alone = rows.filter("n = 0 OR id IS NULL")
-    return (out.select("id", "n", F.col("component").alias("component_id"), F.col("rep").alias("class_id"))
-            .union(alone.select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("class_id")))
+    return (out.select("id", "n", F.col("label").alias("component_id"), F.col("rep").alias("class_id"), "file", "row")
+            .union(alone.select("id", "n", F.col("id").alias("component_id"), F.col("id").alias("class_id"), "file", "row"))
             .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that are near copies of one with a smaller id; all columns as
     they were."""
-    lost = near_components(docs, id_col, text_col, percent).filter("NOT kept").select(F.col("id").alias(id_col))
-    return docs.join(lost, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    placed = located(docs)
+    file, row = placed.columns[-2:]
+    lost = (near_components(placed, id_col, text_col, percent).filter("NOT kept")
+            .select(F.col("file").alias(file), F.col("row").alias(row)))
+    return placed.join(lost, [file, row], "left_anti").select(*[f"`{c}`" for c in docs.columns])

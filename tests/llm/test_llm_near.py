@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from llm_cases import as_docs, edge_rows, prose, shingles_of
 
+from polarity.llm import near
 from polarity.llm.components import components
 from polarity.llm.near import _least_bits, _parameters, keep_one, minima, near_components, sketch_bits
 
@@ -63,6 +64,30 @@ def test_families_equal_brute_force(spark, most):
     assert sorted([(r.id, r.n, r.component_id) for r in got], key=repr) == brute(rows)
 
 
+def test_repeated_ids_join_no_unrelated_texts(spark):
+    """Two texts under one id, each with a near copy; one text many times under one id."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(3, a + " more", "s"), (5, a, "s"), (5, b, "s"), (7, b + " more", "s")] + [(9, c, "s")] * 20 + [(8, c + " more", "s")]
+    docs = as_docs(spark, rows)
+    got = near_components(docs).collect()
+    assert (sorted((r.id, r.component_id, r.class_id, r.kept) for r in got)
+            == [(3, 3, 3, True), (5, 3, 5, False), (5, 5, 5, True), (7, 5, 7, False), (8, 8, 8, True)] + [(9, 8, 9, False)] * 20)
+    assert sorted((r.doc_id, r.text) for r in keep_one(docs).collect()) == [(3, a + " more"), (5, b), (8, c + " more")]
+
+
+def test_repeated_rows_stand_once_where_pairs_are_confirmed(spark, monkeypatch):
+    sizes = []
+
+    def confirm(pairs, sketches, texts, percent, real=near._confirm):
+        sizes.append([(t.count(), t.select("node").distinct().count()) for t in (sketches, texts)])
+        return real(pairs, sketches, texts, percent)
+
+    monkeypatch.setattr(near, "_confirm", confirm)
+    a = prose(1, 60)
+    near_components(as_docs(spark, [(9, a, "s")] * 20 + [(8, a + " more", "s")]))
+    assert sizes and all(pair == (2, 2) for both in sizes for pair in both)
+
+
 def short_pairs():
     """Near pairs of 7 to 30 words: a word more at the end, or another last word."""
     out = []
