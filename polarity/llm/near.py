@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polarity.llm.common import located, ship_by_value
@@ -209,10 +209,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Copies collapse in each task before the exchange; equal sets have equal signatures.
     classes = linkable.groupBy("digest").agg(F.min("node").alias("node"), F.first("bands").alias("bands"))
     reps = linkable.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("rep"))
-    order = Window.partitionBy("bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The smallest of a bucket is written and joined, so that a hot bucket's rows can be split.
+    low = write_table(
+        linkable.select("node", F.explode("bands").alias("bucket")).groupBy("bucket")
+        .agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first"), "near-low")
     meets = write_table(
-        classes.select("node", F.explode("bands").alias("bucket"))
-        .withColumn("first", F.first("node").over(order)).filter("first < node")
+        classes.select("node", F.explode("bands").alias("bucket")).join(low, "bucket").filter("first < node")
         .select("bucket", F.col("first").alias("u"), F.col("node").alias("v")), "near-meets")
 
     nodes = meets.select(F.col("u").alias("node")).union(meets.select("v")).distinct()

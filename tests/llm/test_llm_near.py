@@ -88,6 +88,19 @@ def test_repeated_rows_stand_once_where_pairs_are_confirmed(spark, monkeypatch):
     assert sizes and all(pair == (2, 2) for both in sizes for pair in both)
 
 
+def test_no_bucket_passes_one_task_whole(spark, monkeypatch):
+    """A bucket's smallest class is aggregated and joined, not found in a window over the bucket."""
+    plans = {}
+
+    def write(df, name, real=near.write_table):
+        plans[name] = df._jdf.queryExecution().analyzed().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(near, "write_table", write)
+    near_components(as_docs(spark, [(i, t, "s") for i, t in enumerate(family(1, 5, 2))]))
+    assert "near-meets" in plans and not any("Window" in p for p in plans.values())
+
+
 def short_pairs():
     """Near pairs of 7 to 30 words: a word more at the end, or another last word."""
     out = []
