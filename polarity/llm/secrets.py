@@ -35,11 +35,15 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 # ---- lexing of assignments
 _NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][\w$]++){0,8}+"
-_PAIR = re.compile(rf"""(?:(?P<quote>["'`])(?P<quoted>[^"'`\n]{{1,100}}+)(?P=quote)|(?<![\w$])(?P<plain>{_NAME}))\]?[ \t]*+
-                        (?::[ \t]*+[\w.\[\]|, ]{{1,60}}?(?==[^=>])=|:=|=>|=(?![=>])|:(?![:=]))[ \t]*+""", re.ASCII | re.VERBOSE)
+_PAIR = re.compile(rf"""(?:(?P<quote>["'`])(?P<quoted>[^"'`\n]++)(?P=quote)|(?<![\w$])(?P<plain>{_NAME}))\]?[ \t]*+
+                        (?P<sign>:=|=>|=(?![=>])|:(?![:=]))[ \t]*+""", re.ASCII | re.VERBOSE)
 _STRING = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
 _REFERENCE = re.compile(rf"{_NAME}(?![\w$(\[/+=])", re.ASCII)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#]++""")
+_TYPE = re.compile(r"""[\w.| \t]++|"[^"\n]*+"|'[^'\n]*+'""", re.ASCII)       # what a type has outside brackets
+_BRACKETS = re.compile(r""""[^"\n]*+"|'[^'\n]*+'|[\[\](){}\n]""")
+_EQUALS = re.compile(r"=(?![=>])[ \t]*+")
+_WHOLE_NAME = re.compile(_NAME, re.ASCII)
 _PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 
 # ---- scores
@@ -47,17 +51,31 @@ STRONG = frozenset("password passwd pwd passphrase secret token credential crede
 WEAK = frozenset("auth salt session cookie signature bearer pass".split())
 KEYS = frozenset("api access private secret encryption signing account master service".split())  # ... key
 PLACEHOLDER = re.compile(r"example|changeme|change_me|your|placeholder|dummy|xxxx|\*\*\*|\$\{|\{\{|%\(|<|(.)\1{7}", re.IGNORECASE)
+#: Words that begin or end with a listed one and name no secret.
+ORDINARY = re.compile(r"author(?!iz)\w*|\w*authored|passag\w*|passeng\w*|passiv\w*|passion\w*|passport\w*|passing|passed|passes|"
+                      r"\w*compass|\w*bypass|\w*trespass|secretar\w*|tokeni[sz]\w*|saltwater|salty|cookies?cutter|possession|obsession")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_LETTERS = re.compile(r"[A-Za-z]+")
 MIN_SCORE = 4
 MIN_LENGTH = 8
 
 
+def _ends(word: str, listed) -> bool:
+    """Whether the word begins or ends with a listed one or its plural."""
+    return not ORDINARY.fullmatch(word) and any(word.startswith(x) or word.endswith((x, x + "s", x + "es")) for x in listed)
+
+
+_JOINED = STRONG | {k + "key" for k in KEYS}
+
+
 def name_score(name: str) -> int:
     """2 for a name of secrets, 1 for one that may be, else 0."""
     parts = [p.lower() for p in _PARTS.findall(name)]
-    if any(p in STRONG for p in parts) or any(a in KEYS and b == "key" for a, b in zip(parts, parts[1:])):
+    # runs of letters too: PASSWORDs, passWord
+    if (any(_ends(p, _JOINED) for p in {*parts, *(x.lower() for x in _LETTERS.findall(name))})
+            or any(a in KEYS and b in ("key", "keys") for a, b in zip(parts, parts[1:]))):
         return 2
-    return int(any(p in WEAK for p in parts))
+    return int(any(_ends(p, WEAK) for p in parts))
 
 
 def literal_score(value: str) -> int:
@@ -69,13 +87,50 @@ def literal_score(value: str) -> int:
             - 3 * bool(PLACEHOLDER.search(value)) - 2 * any(c.isspace() for c in value))
 
 
+def _closers(text: str) -> dict[int, int]:
+    """Where each bracket that is closed in its line ends, in one pass."""
+    out, opened = {}, []
+    for m in _BRACKETS.finditer(text):
+        c = m[0]
+        if c == "\n":
+            opened = []
+        elif c in "[({":
+            opened.append((c, m.start()))
+        elif c in "])}" and opened and opened[-1][0] == "[({"["])}".index(c)]:
+            out[opened.pop()[1]] = m.end()
+    return out
+
+
+def _after_type(text: str, at: int, closers: dict[int, int]) -> tuple[int, int] | None:
+    """(where the type that begins here ends, where the value behind its '=' begins); brackets are
+    jumped over, and a scan ends at the next colon outside them, so that scans do not overlap."""
+    begin = at
+    while at < len(text):
+        if m := _TYPE.match(text, at):
+            at = m.end()
+        elif text[at] in "[(" and at in closers:
+            at = closers[at]
+        elif at > begin and (m := _EQUALS.match(text, at)):
+            return at, m.end()
+        else:
+            break
+    return None
+
+
 def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(name, literal, start, end) of every assignment of a literal or of a constant known by name;
     a constant's span is where its literal stands."""
     constants: dict[str, tuple[str, int, int]] = {}
+    closers = _closers(text)
     at = 0
     while m := _PAIR.search(text, at):
         name, at = m["quoted"] or m["plain"], m.end()
+        last = None
+        if m["sign"] == ":" and (typed := _after_type(text, at, closers)):
+            # in "note: the password = ..." the last word is the name
+            words = text[at:typed[0]].split()
+            last = words[-1] if len(words) > 1 and words[-2][-1].isalnum() and _WHOLE_NAME.fullmatch(words[-1]) else None
+            at = typed[1]
         value, start, end = "", None, None
         while True:
             if s := _STRING.match(text, at):
@@ -96,6 +151,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
         if start is not None:
             constants[name] = value, start, end
             yield name, value, start, end
+            if last:
+                yield last, value, start, end
 
 
 def find(text: str | None, min_score: int = MIN_SCORE) -> list[tuple[str, int, int, str | None, int | None]]:

@@ -46,6 +46,35 @@ def test_no_literals(text):
     assert [x for x in find(text) if x[0] == "literal"] == []
 
 
+LONG_TYPE = "Annotated[" + ", ".join(["Optional[str]"] * 20) + "]"
+
+
+@pytest.mark.parametrize("name", ["PGPASSWORD", "dbpassword", "userpwd", "secretkey", "privatekey", "secrets", "tokens", "PASSWORDs",
+                                  "api_keys", "ACCESSKEY", "userPassWord", '"' + "long " * 30 + 'password"'])
+@pytest.mark.parametrize("type_", ["", f": {LONG_TYPE}", ': Annotated[str, Field(description="the (old) one", min=8)]', ': "SecretStr"'])
+def test_joined_names_and_whole_types(name, type_):
+    text = f'{name}{type_} = "p@ss!W0rd#2024"'
+    at = text.index("p@ss")
+    assert [(s, e) for k, s, e, _, _ in find(text) if k == "literal"] == [(at, at + 14)]
+
+
+@pytest.mark.parametrize("text", ['note: for this long sentence, set the admin password = "p@ss!W0rd#2024"', 'note: set the password = "p@ss!W0rd#2024"',
+                                  'def f(user: str, password="p@ss!W0rd#2024")'])
+def test_a_colon_before_takes_no_name_away(text):
+    at = text.index("p@ss")
+    assert [(s, e) for k, s, e, _, _ in find(text) if k == "literal"] == [(at, at + 14)]
+
+
+@pytest.mark.parametrize("name", ["author", "tokenizer", "compass", "passenger", "secretary", "monkey"])
+def test_ordinary_names(name):
+    assert find(f'{name} = "p@ss!W0rd#2024-p@ss!W0rd"') == []
+
+
+@pytest.mark.parametrize("text", ["a:(" * 200000, "a:(" * 200000 + ")" * 200000, 'a:"' * 200000, "a: b [x] " * 100000, "a:'b\"" * 100000])
+def test_long_types_take_linear_time(text):
+    find(text)
+
+
 def test_base_span_covers_literal():
     assert [x[0] for x in find('token = "qP9x0ffkd8zzqP9x"')] == ["assign"]
 
