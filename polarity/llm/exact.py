@@ -2,7 +2,9 @@
 
 Documents enter a stream as (digest, identifier, content locator).  The stream's keyed state,
 disk-backed (RocksDB) and without expiry, holds for each digest the retained identifier, its
-locator (file and row of the text) and the group's size; a micro-batch is combined in its tasks
+locator (file and row of the text) and the group's size.  The arrivals come in about BATCHES
+micro-batches whatever their size, so that later ones meet what earlier ones retained; a micro-batch
+is combined in its tasks
 before it reaches the state, so a digest that a third of all documents share arrives as one
 row a task.  Every hit is then checked byte for byte against the text that its state entry
 locates; texts that share a digest but differ are regrouped by their full bytes.
@@ -21,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polarity.llm.common import located, text_or_empty
-from polarity.session import remove_path, scratch_path, table_path, write_table
+from polarity.session import path_bytes, remove_path, scratch_path, table_path, write_table
+
+BATCHES = 4
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -45,8 +49,11 @@ def _settings(spark: SparkSession, wanted: dict):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def retain(spark: SparkSession, arrivals_path: str, schema, max_bytes_per_trigger: int = 256 << 30) -> DataFrame:
-    """Run all arrivals through the keyed state; one row per digest: keep (id, file, row), n."""
+def retain(spark: SparkSession, arrivals_path: str, schema, max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Run all arrivals through the keyed state; one row per digest: keep (id, file, row), n.
+    Without a bound on a micro-batch's bytes it is the ``BATCHES``-th part of all, in whole files."""
+    if max_bytes_per_trigger is None:
+        max_bytes_per_trigger = max(1, path_bytes(spark, arrivals_path) // BATCHES)
     state = scratch_path(spark, "dedup-state")
     with _settings(spark, _STATE):
         (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger))
@@ -67,7 +74,7 @@ def retain(spark: SparkSession, arrivals_path: str, schema, max_bytes_per_trigge
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  digest: Callable[[Column], Column] | None = None,
-                 max_bytes_per_trigger: int = 256 << 30) -> DataFrame:
+                 max_bytes_per_trigger: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, sha256, file, row.
 
     ``digest`` maps the text column to the state's key (default: SHA-256); any digest gives the

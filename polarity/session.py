@@ -68,6 +68,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a path in whatever store the session reads it from."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Spark's file system layer (any store the session reads)."""
     jvm = spark._jvm

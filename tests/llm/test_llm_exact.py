@@ -1,9 +1,11 @@
 import hashlib
+import os
 
 import pytest
-from llm_cases import edge_rows
+from llm_cases import as_docs, edge_rows
 from pyspark.sql import functions as F
 
+from polarity.llm import exact
 from polarity.llm.exact import drop_copies, exact_groups
 
 
@@ -40,3 +42,20 @@ def test_drop_copies(edge, nothing):
     assert sorted(r.text or "" for r in left.collect()) == sorted({t or "" for _, t, _ in edge_rows()})
     assert drop_copies(nothing).count() == exact_groups(nothing).count() == 0
     assert {r.id for r in left.collect()} == {"own id"}
+
+
+def test_state_decides_later_arrivals(spark, monkeypatch):
+    """By default the arrivals come in several micro-batches; a text's copies are spread over them."""
+    commits = []
+
+    def remove(session, path, real=exact.remove_path):
+        folder = os.path.join(path.removeprefix("file:"), "commits")
+        if os.path.isdir(folder):
+            commits.append(sum(name.isdigit() for name in os.listdir(folder)))
+        return real(session, path)
+
+    monkeypatch.setattr(exact, "remove_path", remove)
+    rows = [(i, f"text {i % 50}", "s") for i in range(400)]
+    got = exact.exact_groups(as_docs(spark, rows).repartition(8)).collect()
+    assert commits and commits[0] > 1
+    assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, 350 + i % 50, 8, i >= 350) for i in range(400)]
