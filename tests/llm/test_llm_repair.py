@@ -1,0 +1,185 @@
+import hashlib
+import heapq
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from polarity.llm.q_repair import damaged, op13_conversation_repair, repaired_conversations
+from polarity.llm.repair import repair, repaired_turns
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def order(row):
+    turn, role, text = row
+    return (turn is not None, turn or 0, role.encode(), text.encode())
+
+
+def damage(rows):
+    """{conversation: [(turn, role, text)]} after damage, in order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        elif kind == 4:
+            role = "user"
+        kept += [(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return {c: sorted(x, key=order) for c, x in out.items()}
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        if not text.strip(SPACES):
+            out.append("blank")
+        elif (role, text) in seen:
+            out.append("duplicate")
+        else:
+            out.append("none" if text.rstrip(SPACES)[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(rows):
+    """(cost, audit, lines): a search over (rows read, initials so far read by the pattern) by cost, then audit."""
+    marks = faults(rows)
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}
+    heap, done = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, state, lines = heapq.heappop(heap)
+        if i == len(rows) and state in ("", "a"):
+            return cost, audit, lines
+        if (i, state) in done:
+            continue
+        done.add((i, state))
+        for role in ("user", "assistant"):
+            if role[0] in after[state]:
+                heapq.heappush(heap, (cost + 2, audit + "I", i, role[0], (*lines, role + ":")))
+        if i < len(rows):
+            _, mine, text = rows[i]
+            heapq.heappush(heap, (cost + 3, audit + "D", i + 1, state, lines))
+            if marks[i] not in ("blank", "duplicate"):
+                more = marks[i] == "truncated"
+                if mine[:1] and mine[0] in after[state]:
+                    heapq.heappush(heap, (cost + more, audit + "K", i + 1, mine[0], (*lines, f"{mine}:{text}")))
+                for role in ("user", "assistant"):
+                    if role[0] in after[state]:
+                        heapq.heappush(heap, (cost + 2 + more, audit + "R", i + 1, role[0], (*lines, f"{role}:{text}")))
+
+
+def brute(rows):
+    out = {}
+    for conv, kept in damage(rows).items():
+        turns = {t for t, _, _ in kept if t is not None}
+        marks = faults(kept)
+        cost, audit, lines = cheapest(kept)
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(kept, kept[1:]))
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(marks.count(x) for x in ("blank", "duplicate", "truncated")),
+                     illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def talk(seed, conversations, most=9):
+    rng = random.Random(seed)
+    texts = ["Yes.", "no", " ", "", None, "What?", "well!\n", "é ", " ", "a b c.", "x" * 70 + "1", "x" * 70 + "2."]
+    rows = []
+    for c in range(conversations):
+        for k in range(rng.randint(1, most)):
+            role = rng.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None, "ubuntu"])
+            rows.append((c if c else None, rng.choice([k, k, k + 3, 1, None, -5]), role, rng.choice(texts)))
+    return rows
+
+
+def frame(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    return df.withColumns({c: F.lit("own") for c in ("conv", "pos", "kind", "fault", "edit", "turns", "part", "audit", "cost", "_copy")})
+
+
+def result(df):
+    rows = df.collect()
+    out = {r.conv_id: tuple(r)[1:] for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equal_to_search(spark, seed):
+    rows = talk(seed, 150)
+    assert result(repaired_conversations(frame(spark, rows))) == brute(rows)
+
+
+def test_one_conversation_over_many_partitions(spark):
+    """A conversation with most of the rows, between small ones, is cut into pieces."""
+    rng = random.Random(9)
+    rows = [(5, k, rng.choice(["user", "assistant", "assistant", "tool", "system"]), rng.choice([f"w{k}.", f"w{k}", "", "same.", "long " * 2000]))
+            for k in range(1500)]
+    rows += [(c, k, "user", "a.") for c in (1, 4, 6, 7) for k in range(3)]
+    df = frame(spark, rows)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = repair(damaged(df))
+        assert kept.filter("conv = 5").select(F.shiftright("pos", 33)).distinct().count() > 3
+        assert result(repaired_conversations(df)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_whole_conversation_dropped(spark):
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(gone, 0, "user", "a."), (None, None, None, None)]
+    got = result(repaired_conversations(frame(spark, rows)))
+    assert got == brute(rows)
+    assert got[gone] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_empty_and_turns(spark):
+    assert repaired_conversations(frame(spark, [])).count() == 0
+    rows = [(1, 0, "user", "Hi."), (1, 1, "user", "Hello there."), (1, 2, "tool", "Yes."), (2, 0, "assistant", "Yes!")]
+    got = repaired_turns(frame(spark, rows)).orderBy("conv_id", "pos", "part").collect()
+    assert [(r.conv_id, r.role, r.text) for r in got] == [
+        (1, "user", "Hi."), (1, "assistant", ""), (1, "user", "Hello there."), (1, "assistant", "Yes."), (2, "user", ""), (2, "assistant", "Yes!")]
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert result(op13_conversation_repair(spark, sf)) == brute(rows)
+
+
+def test_suffix_tables_are_products():
+    from polarity.llm.repair import _TABLES, _times, suffix_tables
+    rng = np.random.default_rng(3)
+    size = np.array([1, 5, 13])
+    cls, kind = rng.integers(0, 4, 19), rng.integers(0, 3, 19)
+    got = suffix_tables(cls, kind, size)
+    want, at = [], 19
+    for s in size[::-1]:
+        m = None
+        for i in range(at - 1, at - s - 1, -1):
+            m = _TABLES[cls[i], kind[i]] if m is None else _times(_TABLES[cls[i], kind[i]], m)
+            want.append(m)
+        at -= s
+    assert (got == np.array(want[::-1])).all()
+
+
+def test_sql_equal_to_search(spark):
+    """The SQL of the query on rows with null and tied turns, null and odd roles."""
+    import duckdb
+    import pandas as pd
+
+    from polarity.llm.q_repair import SQL
+    rows = [r for r in talk(7, 60) if r[2] not in ("", None)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    got = con.execute(SQL).fetchall()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute(rows)
