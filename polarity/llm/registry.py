@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-_MODULES = ["q_near", "q_chat", "q_lines", "q_lm", "q_quality", "q_exact", "q_mix", "q_secrets", "q_urls", "q_pack", "q_ball", "q_repair"]
+_MODULES = ["q_near", "q_chat", "q_lines", "q_lm", "q_quality", "q_exact", "q_mix", "q_secrets", "q_urls", "q_pack", "q_ball", "q_ftrl", "q_repair"]
 
 
 def register(name: str, sql: str | None = None):
