@@ -9,10 +9,10 @@ Links are found without pairing buckets up:
 
 1. every class is held against the smallest class that it shares a bucket with,
 2. then against the smallest of each of its buckets, unless already connected,
-3. the classes of buckets that are still not all connected go through an exact prefix and
+3. if some of these pairs are still in different components, the classes of those components go through an exact prefix and
    positional filter: shingles in order of rarity among them, two classes of different components
    are held against each other only if they share an early enough shingle (a class with too many
-   shingles of its own meets nobody).
+   shingles of its own meets nobody, nor do those of one component meet each other).
 
 A candidate passes a size bound, then signature verification (512 one-bit minima, six standard
 deviations below the threshold), then the exact test on the full sets.  Classes are
@@ -22,8 +22,8 @@ All tables in between are written to the shared folder.
 
 Defined results: null, empty or word-less text has an empty set and no links; a row with a null
 id is never linked (component null, kept); rows that repeat an id each belong to their own
-text's class, and of a component all rows with its smallest id stay; all texts whole; columns
-other than id and text take no part.
+text's class, and of a component all rows with its smallest id stay; all texts whole; an empty table has an empty
+result; columns other than id and text take no part.
 """
 
 from __future__ import annotations
@@ -169,12 +169,18 @@ def _prefix_pairs(member: DataFrame, texts: DataFrame, percent: int) -> DataFram
         .select("node", "n", "c", F.size("order").alias("k"), F.posexplode("order").alias("p", "o"))
         .select("node", "n", "c", (F.col("k") - F.col("p")).alias("left"), F.col("o.token").alias("token"))
         .filter(100 * F.col("left") >= percent * F.col("n")), "near-prefixes")
-    x = ranked.select("token", *[F.col(k).alias(k + "1") for k in ("node", "n", "c", "left")])
+    # Tokens of one component alone pair nobody; of the others, the classes of the token's largest component are
+    # held against the rest, not against each other.
+    per = ranked.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    most = write_table(per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs"))
+                       .filter("cs > 1").select("token", "most"), "near-tokens")
+    ranked = write_table(ranked.join(most, "token"), "near-shared")
+    x = ranked.filter("c != most").select("token", "most", *[F.col(k).alias(k + "1") for k in ("node", "n", "c", "left")])
     y = ranked.select("token", *[F.col(k).alias(k + "2") for k in ("node", "n", "c", "left")])
     return (x.join(y, "token")
-            .filter((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2"))
+            .filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("most")) | (F.col("node1") < F.col("node2")))
                     & ((100 + percent) * F.least("left1", "left2") >= percent * (F.col("n1") + F.col("n2"))))
-            .select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct())
+            .select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct())
 
 
 def _merge(known: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -236,14 +242,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = write_table(meets.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "near-stars")
     known = _merge(known, _confirm(open_pairs(stars).select("u", "v"), sketches, texts, percent))
 
-    # Buckets whose members are still in several components.
-    split = write_table(open_pairs(meets).select("bucket").distinct(), "near-split")
-    if not split.isEmpty():
-        some = meets.join(split, "bucket", "left_semi")
-        member = some.select(F.col("u").alias("node")).union(some.select("v")).distinct()
-        member = write_table(_lift(member.withColumn("c", F.col("node")), known, "c"), "near-members")
-        cross = _prefix_pairs(member, texts, percent)
-        known = _merge(known, _confirm(cross, sketches, texts, percent))
+    # Components that some pair of classes of one bucket still holds apart: all that their classes could link to
+    # is among them, so the buckets themselves are not needed again.
+    apart = write_table(open_pairs(stars.union(first)).select("cu", "cv"), "near-apart")
+    apart = apart.select(F.col("cu").alias("c")).union(apart.select("cv")).distinct()
+    member = _lift(sketches.select("node").withColumn("c", F.col("node")), known, "c").join(apart, "c", "left_semi")
+    member = write_table(member.select("node", "c"), "near-members")
+    if not member.isEmpty():
+        known = _merge(known, _confirm(_prefix_pairs(member, texts, percent), sketches, texts, percent))
 
     named = write_table(_lift(reps.withColumn("component", F.col("node")), known, "component"), "near-named")
     label = write_table(named.groupBy("component").agg(F.min("rep").alias("label")), "near-labels")
