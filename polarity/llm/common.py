@@ -55,13 +55,19 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
 
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with helper columns _file and _row that name each row's place in its files; a
-    frame that is no plain file scan is written to the shared folder first."""
+    frame that is no plain file scan (under projections and filters) is written to the shared folder first: after
+    an explode or a join one file row may stand in several rows."""
     file, row = fresh_names(docs, "_file", "_row")
 
     def add(df: DataFrame) -> DataFrame:
         at = df.metadataColumn("_metadata")
         return df.withColumns({file: at["file_path"], row: at["row_index"]})
 
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if not plan.nodeName().startswith("LogicalRelation") and plan.nodeName() not in ("Relation", "DataSourceV2Relation"):
+        return add(write_table(docs, "located"))
     try:
         out = add(docs)
         out.schema  # noqa: B018  resolves the metadata column
