@@ -54,12 +54,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing a parquet table into the shared folder and reading it back:
-    columnar and compressed, so later scans read only the columns they need."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    columnar and compressed, so later scans read only the columns they need.  The shuffle files of the
+    write are removed with it: the table stands in for them."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    if before is not None:              # a setting that this Spark knows
+        spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
