@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polarity.functions.vecmath import manhattan, squared_euclidean
+from polarity.operators.ids import dense_ids
+from polarity.session import write_table
 
 METRICS = ("euclidean", "manhattan")
 
@@ -62,6 +64,20 @@ def update_centroids(assigned: DataFrame, features: str = "features") -> DataFra
     return g.select("cluster", "n", vector_to_array("_m").alias("features"))
 
 
+def update_medians(assigned: DataFrame, features: str = "features") -> DataFrame:
+    """A17 for Manhattan distance: per-dimension median of the points of each cluster (the mean of the middle two for an even
+    number): (cluster, n, features).  All values are ranked by (cluster, dimension, value) in one distributed
+    sort and the middle ranks looked up, so no cluster is gathered in one task."""
+    long = assigned.select("cluster", F.posexplode(F.col(features)).alias("dim", "value"))
+    ranked = write_table(dense_ids(long, ["cluster", "dim", "value"], "_rank"), "median-ranks")
+    span = ranked.groupBy("cluster", "dim").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n"))
+    middle = span.select("cluster", "dim", "n", F.explode(F.array_distinct(F.array(
+        F.col("_first") + F.floor((F.col("n") - 1) / 2), F.col("_first") + F.floor(F.col("n") / 2)))).alias("_rank"))
+    value = (ranked.join(middle, ["cluster", "dim", "_rank"]).groupBy("cluster", "dim")
+             .agg(F.avg("value").alias("value"), F.first("n").alias("n")))
+    return value.groupBy("cluster").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "value")))["value"].alias("features"))
+
+
 def _collect_centroids(df: DataFrame, k: int, old: list) -> list:
     rows = {r["cluster"]: list(r["features"]) for r in df.collect()}  # k rows at most
     return [rows.get(i, old[i]) for i in range(k)]  # an empty cluster keeps its centroid
@@ -84,6 +100,8 @@ def seed_centroids(points: DataFrame, k: int, metric: str = "euclidean", seed: i
 
     first = (points.withColumn("_u", uniform(seed))
              .select(F.min_by(F.col(features), F.col("_u")).alias("f")).first()["f"])
+    if first is None:       # no points
+        return []
     cents = [list(first)]
     for i in range(1, k):
         w = seed_weights(points, cents, metric, power, features).where(F.col("weight") > 0)
@@ -97,25 +115,32 @@ def seed_centroids(points: DataFrame, k: int, metric: str = "euclidean", seed: i
 
 def kmeans(points: DataFrame, k: int, metric: str = "euclidean", max_iter: int = 100,
            seed: int = 7, init=None, tol: float = 0.0, key: str = "id",
-           features: str = "features") -> tuple[DataFrame, list, int]:
+           features: str = "features", update: str = "mean") -> tuple[DataFrame, list, int]:
     """M8: Lloyd iterations until the assignment no longer changes (centroids stop moving); a run
-    that is cut off by max_iter before that warns.  Returns (assignments (key, cluster), centroids, iterations)."""
-    pts = points.select(key, F.col(features).cast("array<double>").alias(features)).persist()
+    that is cut off by max_iter before that warns.  ``update``: mean, or median (which is what lowers Manhattan distances).
+    Returns (assignments (key, cluster), centroids, iterations); no points have no assignments and no centroids."""
+    if update not in ("mean", "median"):
+        raise ValueError("update must be mean or median")
+    moved_to = update_centroids if update == "mean" else update_medians
+    source = points.select(key, F.col(features).cast("array<double>").alias(features))
+    pts = source.persist()
     cents = [list(map(float, c)) for c in init] if init is not None else \
         seed_centroids(pts, k, metric, seed, 1, key, features)
     k = len(cents)
+    if not k:
+        pts.unpersist()
+        return source.select(key, F.lit(None).cast("int").alias("cluster")), [], 0
     it = 0
     for it in range(1, max_iter + 1):
-        new = _collect_centroids(update_centroids(assign_clusters(pts, cents, metric, features), features),
-                                 k, cents)
+        new = _collect_centroids(moved_to(assign_clusters(pts, cents, metric, features), features), k, cents)
         moved = max(float(np.max(np.abs(np.asarray(a) - np.asarray(b)))) for a, b in zip(new, cents))
         cents = new
         if moved <= tol:
             break
     else:
         warnings.warn(f"k-means: centroids still move after max_iter={max_iter} rounds", stacklevel=2)
-    out = assign_clusters(pts, cents, metric, features).select(key, "cluster")
-    return out, cents, it
+    pts.unpersist()
+    return assign_clusters(source, cents, metric, features).select(key, "cluster"), cents, it
 
 
 def kmeans_ml(points: DataFrame, k: int, max_iter: int = 100, seed: int = 7, key: str = "id",
@@ -123,6 +148,8 @@ def kmeans_ml(points: DataFrame, k: int, max_iter: int = 100, seed: int = 7, key
     """M8 for Euclidean distance with Spark ML (k-means|| seeding): (key, cluster)."""
     from pyspark.ml.clustering import KMeans
     v = points.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("_v"))
+    if v.isEmpty():
+        return v.select(key, F.lit(None).cast("int").alias("cluster"))
     model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_v", predictionCol="cluster").fit(v)
     return model.transform(v).select(key, F.col("cluster").cast("int"))
 
@@ -155,9 +182,13 @@ def som(points: DataFrame, rows: int, cols: int, iters: int = 10, seed: int = 7,
         features: str = "features") -> tuple[DataFrame, list]:
     """Batch SOM with a shrinking neighbourhood.  Start codebook: k-means++ style seeds.
     Returns (assignments (key, unit), codebook)."""
-    pts = points.select(key, F.col(features).cast("array<double>").alias(features)).persist()
+    source = points.select(key, F.col(features).cast("array<double>").alias(features))
+    pts = source.persist()
     k = rows * cols
     code = seed_centroids(pts, k, "euclidean", seed, 2, key, features)
+    if not code:            # no points: no assignments, no codebook
+        pts.unpersist()
+        return source.select(key, F.lit(None).cast("int").alias("unit")), []
     while len(code) < k:
         code.append(list(code[-1]))
     s0 = sigma0 if sigma0 is not None else max(rows, cols) / 2.0
@@ -165,5 +196,5 @@ def som(points: DataFrame, rows: int, cols: int, iters: int = 10, seed: int = 7,
         sigma = s0 * (sigma1 / s0) ** (t / max(iters - 1, 1))
         rows_ = som_step(pts, code, rows, cols, sigma, features).collect()  # k rows
         code = [list(r["features"]) for r in sorted(rows_, key=lambda r: r["unit"])]
-    out = assign_clusters(pts, code, "euclidean", features).select(key, F.col("cluster").alias("unit"))
-    return out, code
+    pts.unpersist()
+    return assign_clusters(source, code, "euclidean", features).select(key, F.col("cluster").alias("unit")), code

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from polarity.operators.cluster import (assign_clusters, kmeans, kmeans_ml, seed_weights, som,
-                                        som_step, update_centroids)
+                                        som_step, update_centroids, update_medians)
 from polarity.plans import testbed as tb
 from polarity.queries.registry import register, with_ctes
 
@@ -96,7 +96,19 @@ def q_kmeans_step(spark, sf):
     return _explode(update_centroids(a), "cluster")
 
 
-@register("seed_weights", with_ctes(
+@register("kmedians_step", with_ctes(
+    ("pts", PTS_SQL), ("start", START_SQL), _assign_sql(_l1("p.x", "s.c")), ("long", LONG_SQL),
+    ("n", "SELECT cluster, count(*) AS n FROM assigned GROUP BY cluster"),
+    select=("SELECT CAST(a.cluster AS INTEGER) AS cluster, n.n, g.dim, round(median(g.v), 6) AS value "
+            "FROM long g JOIN assigned a ON g.vec_id = a.vec_id JOIN n ON n.cluster = a.cluster "
+            "GROUP BY a.cluster, n.n, g.dim")))
+def q_kmedians_step(spark, sf):
+    """M8, one step with Manhattan distance whose update is the per-dimension median."""
+    a = assign_clusters(_points(spark, sf), _start(spark, sf), "manhattan")
+    return _explode(update_medians(a), "cluster")
+
+
+@register("seed_weights",with_ctes(
     ("pts", PTS_SQL), ("start", START_SQL), _assign_sql(_sq("p.x", "s.c")),
     select="SELECT vec_id, round(sqrt(best), 6) AS weight, round(sqrt(best) / sum(sqrt(best)) OVER (), 9) AS prob FROM assigned"))
 def q_seed_weights(spark, sf):

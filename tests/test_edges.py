@@ -166,3 +166,25 @@ def test_saved_model_stands_alone(spark, tmp):
     save_model(spark, model, tmp + "/m")
     remove_path(spark, model.path)
     assert sorted(map(tuple, predict(load_model(spark, tmp + "/m"), v, "doc_id").collect())) == want
+
+
+def test_learners_on_empty_tables(spark):
+    """No points: no assignments, no centroids."""
+    from polarity.operators.cluster import kmeans, kmeans_ml, som
+    none = spark.createDataFrame([], "id long, features array<double>")
+    for update in ("mean", "median"):
+        out, cents, rounds = kmeans(none, 3, "manhattan", update=update)
+        assert out.columns == ["id", "cluster"] and out.count() == 0 and cents == [] and rounds == 0
+    assert kmeans_ml(none, 3).count() == 0
+    out, code = som(none, 2, 2)
+    assert out.count() == 0 and code == []
+
+
+def test_median_update(spark):
+    from polarity.operators.cluster import kmeans, update_medians
+    rows = [(0, [1.0, 5.0]), (0, [2.0, 1.0]), (0, [9.0, 3.0]), (1, [4.0, 4.0]), (1, [8.0, 4.0])]
+    got = {r["cluster"]: (r["n"], r["features"]) for r in update_medians(spark.createDataFrame(rows, "cluster int, features array<double>")).collect()}
+    assert got == {0: (3, [2.0, 3.0]), 1: (2, [6.0, 4.0])}
+    points = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate([0, 1, 2, 100, 101, 200])], "id long, features array<double>")
+    out, cents, _ = kmeans(points, 2, "manhattan", init=[[0.0], [100.0]], update="median")
+    assert cents == [[1.0], [101.0]] and {r["id"]: r["cluster"] for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}

@@ -9,6 +9,7 @@ from polarity.config import LETTER_WORD, Settings
 from polarity.plans import jobs
 from polarity.plans import testbed as tb
 from polarity.sources import sinks
+from polarity.sources.atomic import read_table
 from polarity.streaming.stream import poll_new
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +45,7 @@ def test_corpus_ids_continue(spark, built):
 
 def test_dictionary_written(spark, built):
     base, _, _, _, d, _, _ = built
-    assert spark.read.parquet(os.path.join(base, "dictionary")).count() == d.count() > 0
+    assert read_table(spark, os.path.join(base, "dictionary")).count() == d.count() > 0
 
 
 def test_evaluate_run_writes_metrics(spark, built):
