@@ -1,4 +1,4 @@
-"""k-means (Euclidean or Manhattan), k-means++ seeding and a batch self-organising map.
+"""k-means (Euclidean or Manhattan), seeding in few passes and a batch self-organising map.
 
 Points are (id, features array<double>).  Centroids / codebooks have k rows (k is a parameter,
 not data), so each iteration ships them to the tasks as one literal array and computes every
@@ -9,6 +9,7 @@ sums come back through a partial aggregation (k rows), which is all the driver s
 from __future__ import annotations
 
 import json
+import math
 import warnings
 
 import numpy as np
@@ -90,22 +91,63 @@ def seed_weights(points: DataFrame, centroids, metric: str = "euclidean", power:
     return a.withColumn("weight", F.pow(F.col("distance"), power))
 
 
+def _uniform(seed, key: str) -> Column:
+    """A number in (0, 1) from the seed and the key: the draw does not depend on the partitioning."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def seed_oversampled(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 7, power: int = 1,
+                     key: str = "id", features: str = "features", rounds: int = 5, factor: float = 2.0) -> list:
+    """M9 in ``rounds`` + 2 passes, whatever k (k-means|| for any metric).
+
+    Each round draws factor * k points at once, without replacement, with probability proportional to
+    distance ** power from all candidates so far: the smallest -ln(u)/w, a bounded top list.  Every candidate is then weighted by
+    the number of points nearest to it, and k of the at most 1 + rounds * factor * k weighted candidates are
+    drawn on the driver, each as ``seed_centroids`` draws them.  Fewer than k distinct points give as many centroids; none, none."""
+    first = points.select(F.min_by(F.col(features), _uniform(seed, key)).alias("f")).first()["f"]
+    if first is None:
+        return []
+    cents, n = [list(first)], max(int(math.ceil(factor * k)), 1)
+    for r in range(1, rounds + 1):
+        w = seed_weights(points, cents, metric, power, features).where(F.col("weight") > 0)
+        race = w.select(features, F.col(key), (-F.log(_uniform(seed + r, key)) / F.col("weight")).alias("_race"))
+        drawn = race.orderBy("_race", key).limit(n).collect()           # n rows at most
+        cents += [list(x) for x in dict.fromkeys(tuple(row[features]) for row in drawn)]
+        if not drawn:       # every point is a candidate
+            break
+    mass = np.zeros(len(cents))
+    for row in assign_clusters(points, cents, metric, features).groupBy("cluster").count().collect():
+        mass[row["cluster"]] = row["count"]
+    return [cents[i] for i in _draw(np.asarray(cents, float), mass, k, metric, power, seed)]
+
+
+def _draw(cands: np.ndarray, mass: np.ndarray, k: int, metric: str, power: int, seed: int) -> list[int]:
+    """k of the weighted candidates, the first by mass, the next by mass * distance ** power."""
+    rng = np.random.default_rng(seed)
+    weight, near, chosen = mass.astype(float), np.full(len(cands), np.inf), []
+    while len(chosen) < k and weight.sum() > 0:
+        i = int(rng.choice(len(cands), p=weight / weight.sum()))
+        chosen.append(i)
+        diff = cands - cands[i]
+        d = np.sqrt((diff * diff).sum(1)) if metric == "euclidean" else np.abs(diff).sum(1)
+        near = np.minimum(near, d)
+        weight = mass * near ** power
+    return chosen
+
+
 def seed_centroids(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 7,
                    power: int = 1, key: str = "id", features: str = "features") -> list:
     """M9: first centroid a uniformly drawn point, each next one drawn with probability
     proportional to weight (distance to the nearest chosen centroid ** power).  One weighted
     draw = min over points of -ln(u)/w (exponential race), a plain aggregate: k passes."""
-    def uniform(s):     # of the seed and the key: the draw does not depend on the partitioning
-        return (F.pmod(F.xxhash64(F.lit(s), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-
-    first = (points.withColumn("_u", uniform(seed))
+    first = (points.withColumn("_u", _uniform(seed, key))
              .select(F.min_by(F.col(features), F.col("_u")).alias("f")).first()["f"])
     if first is None:       # no points
         return []
     cents = [list(first)]
     for i in range(1, k):
         w = seed_weights(points, cents, metric, power, features).where(F.col("weight") > 0)
-        w = w.withColumn("_race", -F.log(uniform(seed + i)) / F.col("weight"))
+        w = w.withColumn("_race", -F.log(_uniform(seed + i, key)) / F.col("weight"))
         nxt = w.select(F.min_by(F.col(features), F.col("_race")).alias("f")).first()["f"]
         if nxt is None:  # fewer distinct points than k
             break
@@ -125,7 +167,7 @@ def kmeans(points: DataFrame, k: int, metric: str = "euclidean", max_iter: int =
     source = points.select(key, F.col(features).cast("array<double>").alias(features))
     pts = source.persist()
     cents = [list(map(float, c)) for c in init] if init is not None else \
-        seed_centroids(pts, k, metric, seed, 1, key, features)
+        seed_oversampled(pts, k, metric, seed, 1, key, features)
     k = len(cents)
     if not k:
         pts.unpersist()
@@ -180,12 +222,12 @@ def som_step(points: DataFrame, codebook: list, rows: int, cols: int, sigma: flo
 def som(points: DataFrame, rows: int, cols: int, iters: int = 10, seed: int = 7,
         sigma0: float | None = None, sigma1: float = 0.5, key: str = "id",
         features: str = "features") -> tuple[DataFrame, list]:
-    """Batch SOM with a shrinking neighbourhood.  Start codebook: k-means++ style seeds.
+    """Batch SOM with a shrinking neighbourhood.  Start codebook: oversampled seeds.
     Returns (assignments (key, unit), codebook)."""
     source = points.select(key, F.col(features).cast("array<double>").alias(features))
     pts = source.persist()
     k = rows * cols
-    code = seed_centroids(pts, k, "euclidean", seed, 2, key, features)
+    code = seed_oversampled(pts, k, "euclidean", seed, 2, key, features)
     if not code:            # no points: no assignments, no codebook
         pts.unpersist()
         return source.select(key, F.lit(None).cast("int").alias("unit")), []

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polarity.config import CYRILLIC_WORD
 from polarity.functions.text import words
-from polarity.operators.cluster import assign_clusters, kmeans
+from polarity.operators.cluster import assign_clusters, kmeans, som
 from polarity.sources.tables import scan_category
 
 
@@ -57,3 +57,14 @@ def cluster_words(word_df: DataFrame, k: int, metric: str = "euclidean", max_ite
 def export_words(word_df: DataFrame, path: str) -> None:
     """The trend words as a csv folder with a header."""
     word_df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """The exported trend words: (word, n, n_texts)."""
+    return spark.read.schema("word string, n bigint, n_texts bigint").option("header", True).csv(path)
+
+
+def map_words(word_df: DataFrame, rows: int, cols: int, iters: int = 10, seed: int = 7) -> DataFrame:
+    """M11 of the trend words: a self-organising map of their frequency features: (word, unit)."""
+    out, _ = som(word_features(word_df), rows, cols, iters, seed, key="word")
+    return out

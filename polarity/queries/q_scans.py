@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from polarity.operators.audit import by_source, export_clean, lookup, lookup_list, text_audit
 from polarity.operators.scoring import batch_report, last_label, route_errors, upsert_scores
 from polarity.operators.trends import categories
+from polarity.config import Settings
 from polarity.plans import testbed as tb
+from polarity.plans.jobs import audit, audit_list
 from polarity.queries.registry import register, with_ctes, words_sql
 from polarity.session import scratch_path
 from polarity.sources.sinks import append_corpus, write_corpus
@@ -154,6 +156,29 @@ def q_text_audit(spark, sf):
     return text_audit(tb.table(spark, sf, "documents"), "text", tb.ACCENTED)
 
 
+_TOXIC = "(SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"
+
+
+def _toxic_keys(spark, sf):
+    return tb.table(spark, sf, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").cast("string").alias("value"))
+
+
+@register("audit_chosen", with_ctes(NEWS, select=_audit_sql("text") + f" FROM news WHERE guid IN {_TOXIC}"))
+def q_audit_chosen(spark, sf):
+    """P10 by key list: the counts of the texts labelled toxic."""
+    return audit(tb.news(spark, sf), Settings(pattern=tb.ACCENTED), keys=_toxic_keys(spark, sf))
+
+
+@register("audit_list", with_ctes(NEWS, select=(
+    f"SELECT guid, text_id, date, myemote, title, array_to_string(coalesce(regexp_extract_all(text, '({tb.ACCENTED})', 1), []), ' ') AS clean_text, "
+    f"CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN len(regexp_extract_all(text, '({tb.ACCENTED})', 1)) = 0 THEN 'foreign' ELSE 'ok' END AS state "
+    f"FROM news WHERE guid IN {_TOXIC}")))
+def q_audit_list(spark, sf):
+    """P10 by key list: the texts labelled toxic with their words and state."""
+    return audit_list(tb.news(spark, sf), Settings(pattern=tb.ACCENTED), keys=_toxic_keys(spark, sf)).select(
+        "guid", "text_id", "date", "myemote", "title", "clean_text", "state")
+
+
 @register("text_audit_by_lang", "SELECT lang, " + _audit_sql("text")[len("SELECT "):] + " FROM documents GROUP BY lang")
 def q_text_audit_by_lang(spark, sf):
     return text_audit(tb.table(spark, sf, "documents"), "text", tb.ACCENTED, by="lang")

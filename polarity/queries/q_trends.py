@@ -9,7 +9,9 @@ from polarity.functions.text import words
 from polarity.operators.lemma import drop_pos
 from polarity.operators.trends import cluster_words, drop_clusters, drop_stop_words, trend_words
 from polarity.plans import testbed as tb
+from polarity.plans.jobs import trend_report
 from polarity.queries.registry import register, with_ctes, words_sql
+from polarity.session import scratch_path
 
 TW = ("tw", f"SELECT word, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_texts FROM (SELECT text_id, word, count(*) AS c FROM "
             f"(SELECT text_id, unnest({words_sql('content')}) AS word FROM (SELECT text_id, concat_ws(' ', title, text) AS content "
@@ -64,6 +66,18 @@ def q_drop_clusters(spark, sf):
     return drop_clusters(tw, assign, [2]).select("word", "n")
 
 
+@register("trend_report", with_ctes(TW, ("stop", STOP_SQL), ("a", _assign_sql()), ("ld", tb.lemma_dict_sql()), select=(
+    "SELECT word, n, n_texts FROM tw WHERE word NOT IN (SELECT word FROM a WHERE cluster = 2) AND word NOT IN "
+    "(SELECT form FROM ld WHERE pos IN ('FUNC', 'ADV')) AND word NOT IN (SELECT value FROM stop)")))
+def q_trend_report(spark, sf):
+    """P9 whole: words of a category, the frequent cluster, function words and adverbs and the stop words removed, exported,
+    mapped; what is returned is the export, read back."""
+    stop = tb.table(spark, sf, "benchmark").select(F.explode(words("text", LETTER_WORD)).alias("value"))
+    return trend_report(tb.news(spark, sf), tb.CATEGORY, scratch_path(spark, "trend"), stop, drop_ids=[2], settings=tb.WORDS,
+                        pos_dict=tb.lemma_dict(spark, sf), drop_classes=["FUNC", "ADV"], centroids=CENTROIDS,
+                        map_path=scratch_path(spark, "trend-map"))
+
+
 @register("word_clusters")
 def q_word_clusters(spark, sf):
     """K-means (k = 4) over the trend-word features."""

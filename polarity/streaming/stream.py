@@ -20,7 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from polarity.config import CYRILLIC_WORD, SCORING_BATCH, Settings
 from polarity.functions.text import clean, text_state
-from polarity.session import remove_path, table_path, write_table
+from polarity.session import path_exists, remove_path, table_path, write_table
+from polarity.sources import deltas
 
 BATCH_SCHEMA = "shard int, batch_no long, seq long, id string, text string"
 STATE_SCHEMA = "ids array<string>, texts array<string>, next_batch long, next_seq long"
@@ -110,15 +111,13 @@ def score_stream(stream: DataFrame, model, dictionary: DataFrame, settings: Sett
 
 
 def current_scores(spark, scores_path: str) -> DataFrame:
-    """All streamed scores, one per key (the latest batch wins)."""
-    s = spark.read.parquet(scores_path)
-    return s.groupBy("guid").agg(F.max_by("label", "batch").alias("label"))
+    """All streamed scores, one per key (the latest batch wins; ``deltas.compact`` folds old batches)."""
+    return deltas.current(spark, scores_path)
 
 
 def written_back(news: DataFrame, scores_path: str) -> DataFrame:
     """K8 of the stream: the texts with their streamed scores applied by key."""
-    from polarity.operators.scoring import upsert_scores
-    return upsert_scores(news, current_scores(news.sparkSession, scores_path), "guid", "temote", "label", seq=None)
+    return deltas.apply_scores(news, scores_path)
 
 
 def poll_new(news: DataFrame, watermark_path: str, score: str = "temote", date: str = "date") -> DataFrame:
