@@ -1,0 +1,90 @@
+"""Scores by key: reads before and after compaction, stopped compactions, the plan of a read."""
+
+import os
+
+import pytest
+
+from polarity.sources import atomic, deltas
+
+TEXTS = [("a", None), ("b", 7), ("c", None), ("d", None), (None, 3)]
+
+
+def _batch(spark, path, n, rows):
+    spark.createDataFrame(rows, "guid string, label int").write.mode("overwrite").parquet(os.path.join(path, f"batch={n}"))
+
+
+def _texts(spark):
+    return spark.createDataFrame(TEXTS, "guid string, temote int")
+
+
+def _scores(spark, path):
+    return sorted((r["guid"] or "", r["temote"]) for r in deltas.apply_scores(_texts(spark), path).collect())
+
+
+def test_nothing_written(spark, tmp):
+    path = os.path.join(tmp, "scores")
+    assert deltas.current(spark, path) is None and deltas.next_batch(spark, path) == 0
+    assert deltas.apply_scores(_texts(spark), path).collect() == _texts(spark).collect()
+    deltas.compact(spark, path)
+    assert deltas.read_base(spark, path) == (None, -1)
+
+
+def test_compaction_changes_no_score(spark, tmp):
+    path = os.path.join(tmp, "scores")
+    _batch(spark, path, 0, [("a", 1), ("b", 1), ("z", 5)])
+    _batch(spark, path, 1, [("a", -1), ("c", 2), ("c", 1)])
+    before = _scores(spark, path)
+    assert before == [("", 3), ("a", -1), ("b", 1), ("c", 2), ("d", None)]
+    deltas.compact(spark, path, buckets=3)
+    assert _scores(spark, path) == before and deltas.next_batch(spark, path) == 2
+    _batch(spark, path, 2, [("b", -2), ("d", 0)])
+    after = _scores(spark, path)
+    assert after == [("", 3), ("a", -1), ("b", -2), ("c", 2), ("d", 0)]
+    deltas.compact(spark, path)
+    assert _scores(spark, path) == after
+    assert deltas.batches(spark, path) == [2]           # the base before held 0 and 1
+    assert {r["guid"]: r["label"] for r in deltas.current(spark, path).collect()} == {"a": -1, "b": -2, "c": 2, "d": 0, "z": 5}
+    deltas.compact(spark, path)                         # nothing open
+    assert deltas.batches(spark, path) == [2] and _scores(spark, path) == after
+
+
+@pytest.mark.parametrize("step", ["write", "publish", "clean"])
+def test_stopped_compaction(spark, tmp, monkeypatch, step):
+    path = os.path.join(tmp, "scores")
+    _batch(spark, path, 0, [("a", 1)])
+    deltas.compact(spark, path, buckets=2)
+    _batch(spark, path, 1, [("a", 2), ("c", 1)])
+    want = [("", 3), ("a", 2), ("b", 7), ("c", 1), ("d", None)]
+
+    def stop(*_):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(deltas, "current", stop)
+        elif step == "publish":
+            m.setattr(deltas, "_publish", stop)
+        else:
+            m.setattr(deltas, "remove_path", stop)
+        with pytest.raises(KeyboardInterrupt):
+            deltas.compact(spark, path)
+    assert _scores(spark, path) == want
+    deltas.compact(spark, path)
+    assert _scores(spark, path) == want
+    _batch(spark, path, 2, [("d", 1)])
+    deltas.compact(spark, path)
+    assert _scores(spark, path) == want[:4] + [("d", 1)]
+    assert not [c for c in atomic._children(spark, f"{path}-base") if c.startswith("_new-")]
+
+
+def test_read_does_not_exchange_the_base(spark, tmp):
+    path = os.path.join(tmp, "scores")
+    _batch(spark, path, 0, [(str(i), i % 3) for i in range(200)])
+    deltas.compact(spark, path, buckets=16)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = deltas.apply_scores(_texts(spark), path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SelectedBucketsCount: 16 out of 16" in plan or "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1      # that of the texts
