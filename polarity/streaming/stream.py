@@ -14,16 +14,18 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from polarity.config import CYRILLIC_WORD, SCORING_BATCH, Settings
 from polarity.functions.text import clean, text_state
-from polarity.session import path_exists, remove_path, table_path, write_table
+from polarity.session import remove_path, table_path, write_table
 from polarity.sources import deltas
+from polarity.sources.atomic import _children, _fs
 
 BATCH_SCHEMA = "shard int, batch_no long, seq long, id string, text string"
+SHARDS = 32         # of a new checkpoint; the machine has no say in it
 STATE_SCHEMA = "ids array<string>, texts array<string>, next_batch long, next_seq long"
 
 
@@ -66,10 +68,9 @@ def batch_by_count(stream: DataFrame, threshold: int = SCORING_BATCH, shards: in
                    timeout_ms: int | None = None, key: str = "id", flush: bool = False) -> DataFrame:
     """(shard, batch_no, seq, id, text) rows, released in batches of exactly ``threshold`` per
     shard; seq numbers a shard's rows as they came.  The stream is spread by a hash of the key over
-    ``shards`` (default: the session's parallelism; 1 = the reference's single buffer).  ``flush``
-    releases the short tail at the end of every micro-batch."""
-    if shards is None:
-        shards = stream.sparkSession.sparkContext.defaultParallelism
+    ``shards`` (1: a single buffer), whatever the session's parallelism: a restart must hit the shards in which rows
+    wait.  ``flush`` releases the short tail at the end of every micro-batch."""
+    shards = shards or SHARDS
     shard = F.pmod(F.hash(F.col(key)), F.lit(shards)).cast("int").alias("shard")
     t = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
     return (stream.select(shard, F.col(key).alias("id"), "text").groupBy("shard")
@@ -77,6 +78,21 @@ def batch_by_count(stream: DataFrame, threshold: int = SCORING_BATCH, shards: in
                                     "append", t))
 
 
+def fixed_shards(spark: SparkSession, checkpoint: str, shards: int | None = None) -> int:
+    """The number of shards of a checkpoint, stored beside it by its first run.  A restart takes the stored number; asking
+    for another one is an error, and so is a checkpoint that has run without a stored number unless the number is given."""
+    stored = [int(c) for c in _children(spark, f"{checkpoint}/shards") if c.isdigit()]
+    if stored:
+        if shards not in (None, stored[0]):
+            raise ValueError(f"the checkpoint has {stored[0]} shards, {shards} were asked for")
+        return stored[0]
+    if shards is None and _children(spark, f"{checkpoint}/offsets"):
+        raise ValueError("the checkpoint has run without a stored number of shards: give the number it ran with")
+    fs, folder = _fs(spark, f"{checkpoint}/shards/{shards or SHARDS}")
+    fs.mkdirs(folder)
+    return shards or SHARDS
+
+
 def score_batch(batch: DataFrame, batch_id: int, model, dictionary: DataFrame, settings: Settings,
                 scores_path: str, lemma_dict: DataFrame | None = None) -> None:
     """T3 + T5: prepare (clean, lemmatise), score and write one micro-batch: scores to
@@ -101,9 +117,10 @@ def score_stream(stream: DataFrame, model, dictionary: DataFrame, settings: Sett
                  shards: int | None = None, timeout_ms: int | None = None, trigger: dict | None = None,
                  lemma_dict: DataFrame | None = None):
     """Messages -> count-triggered batches -> prepared as in the batch job -> scores written per
-    micro-batch.  A run over what is available flushes its tail, so every message is scored.
+    micro-batch.  The number of shards belongs to the checkpoint (``fixed_shards``).  A run over what is available flushes its tail, so every message is scored.
     Returns the started StreamingQuery."""
     trigger = trigger or {"availableNow": True}
+    shards = fixed_shards(stream.sparkSession, checkpoint, shards)
     batches = batch_by_count(stream, threshold, shards, timeout_ms, flush=timeout_ms is None and bool(trigger.get("availableNow") or trigger.get("once")))
     w = (batches.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: score_batch(df, bid, model, dictionary, settings, scores_path, lemma_dict)))
