@@ -1,8 +1,8 @@
 """Structured Streaming: message intake, count-triggered batches, scoring with write-back
 (T1-T5, P8).
 
-The reference buffers messages in a file and scores the buffer once it holds 100 texts.  Here
-the buffer is streaming state per shard (applyInPandasWithState): rows wait in state until
+The reference cleans messages as they come, buffers them in a file and scores the buffer once it holds 100
+texts.  Here the buffer is streaming state per shard (``streaming.batches``): cleaned rows wait in state until
 ``threshold`` of them are there, a full batch is emitted, the rest stays; a time-out flushes a short
 tail, and so does the end of a run over what is available.  State per shard never exceeds
 threshold - 1 rows after a trigger.
@@ -11,22 +11,17 @@ threshold - 1 rows after a trigger.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from polarity.config import CYRILLIC_WORD, SCORING_BATCH, Settings
 from polarity.functions.text import clean, text_state
 from polarity.session import remove_path, table_path, write_table
 from polarity.sources import deltas
 from polarity.sources.atomic import _children, _fs
+from polarity.streaming.batches import SHARDS, batch_by_count
 
-BATCH_SCHEMA = "shard int, batch_no long, seq long, id string, text string"
-SHARDS = 32         # of a new checkpoint; the machine has no say in it
-STATE_SCHEMA = "ids array<string>, texts array<string>, next_batch long, next_seq long"
+TIMEOUT_MS = 60_000     # how long a message of a continuous run waits for a full batch
 
 
 def intake(messages: DataFrame, pattern: str = CYRILLIC_WORD) -> DataFrame:
@@ -35,49 +30,6 @@ def intake(messages: DataFrame, pattern: str = CYRILLIC_WORD) -> DataFrame:
                            text_state("text", pattern).alias("state"))
 
 
-def _count_batcher(threshold: int, timeout_ms: int | None, flush: bool):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shard = int(key[0])
-        if state.exists:
-            ids, texts, batch, seq = state.get
-            ids, texts = list(ids), list(texts)
-        else:
-            ids, texts, batch, seq = [], [], 0, 0
-
-        def release(n):
-            return pd.DataFrame({"shard": shard, "batch_no": batch, "seq": range(seq, seq + n), "id": ids[:n], "text": texts[:n]})
-
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                ids.extend(pdf["id"].tolist())
-                texts.extend(pdf["text"].tolist())
-                while len(ids) >= threshold:
-                    yield release(threshold)
-                    ids, texts, batch, seq = ids[threshold:], texts[threshold:], batch + 1, seq + threshold
-        if ids and (flush or state.hasTimedOut):  # the short tail
-            n = len(ids)
-            yield release(n)
-            ids, texts, batch, seq = [], [], batch + 1, seq + n
-        state.update((ids, texts, batch, seq))      # batch and row numbers go on, they never repeat
-        if timeout_ms is not None and ids:
-            state.setTimeoutDuration(timeout_ms)
-    return fn
-
-
-def batch_by_count(stream: DataFrame, threshold: int = SCORING_BATCH, shards: int | None = None,
-                   timeout_ms: int | None = None, key: str = "id", flush: bool = False) -> DataFrame:
-    """(shard, batch_no, seq, id, text) rows, released in batches of exactly ``threshold`` per
-    shard; seq numbers a shard's rows as they came.  The stream is spread by a hash of the key over
-    ``shards`` (1: a single buffer), whatever the session's parallelism: a restart must hit the shards in which rows
-    wait.  ``flush`` releases the short tail at the end of every micro-batch."""
-    shards = shards or SHARDS
-    shard = F.pmod(F.hash(F.col(key)), F.lit(shards)).cast("int").alias("shard")
-    t = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    return (stream.select(shard, F.col(key).alias("id"), "text").groupBy("shard")
-            .applyInPandasWithState(_count_batcher(threshold, timeout_ms, flush), BATCH_SCHEMA, STATE_SCHEMA,
-                                    "append", t))
-
-
 def fixed_shards(spark: SparkSession, checkpoint: str, shards: int | None = None) -> int:
     """The number of shards of a checkpoint, stored beside it by its first run.  A restart takes the stored number; asking
     for another one is an error, and so is a checkpoint that has run without a stored number unless the number is given."""
@@ -95,16 +47,18 @@ def fixed_shards(spark: SparkSession, checkpoint: str, shards: int | None = None
 
 def score_batch(batch: DataFrame, batch_id: int, model, dictionary: DataFrame, settings: Settings,
                 scores_path: str, lemma_dict: DataFrame | None = None) -> None:
-    """T3 + T5: prepare (clean, lemmatise), score and write one micro-batch: scores to
-    ``scores_path/batch=<id>``, texts without words to ``<scores_path>-errors/batch=<id>``.  Of rows
-    with one key the last that came is scored; the folders are overwritten, so a replayed batch
-    (after a failure) leaves exactly one copy."""
-    from polarity.operators.scoring import last_rows, route_errors
+    """T3 + T5: lemmatise, score and write one micro-batch of cleaned texts (``intake``; a batch without a state
+    is cleaned here): scores to ``scores_path/batch=<id>``, texts without words to
+    ``<scores_path>-errors/batch=<id>``.  Of rows with one key the last that came is scored; the folders are
+    overwritten, so a replayed batch (after a failure) leaves exactly one copy."""
+    from polarity.operators.scoring import last_rows
     from polarity.operators.svm import predict
     from polarity.operators.vectors import score_space
     from polarity.plans.jobs import prepare
-    texts = write_table(last_rows(batch.select(F.col("id").alias("guid"), "text", "seq"), "guid", ["seq"]).drop("seq"), "stream-batch")
-    good, bad = route_errors(texts, "guid", "text", settings.pattern)
+    if "state" not in batch.columns:
+        batch = batch.withColumns({"text": clean("text", settings.pattern), "state": text_state("text", settings.pattern)})
+    texts = write_table(last_rows(batch.select(F.col("id").alias("guid"), "text", "state", "seq"), "guid", ["seq"]).drop("seq"), "stream-batch")
+    good, bad = texts.where("state = 'ok'").drop("state"), texts.where("state <> 'ok'").select("guid", F.col("state").alias("reason"))
     bad.write.mode("overwrite").parquet(os.path.join(f"{scores_path}-errors", f"batch={batch_id}"))
     ready = prepare(good, lemma_dict, settings, "guid").select("guid", F.col("lemma_text").alias("text"))
     pred = predict(model, score_space(ready, dictionary, settings), "guid")
@@ -116,12 +70,18 @@ def score_stream(stream: DataFrame, model, dictionary: DataFrame, settings: Sett
                  scores_path: str, checkpoint: str, threshold: int = SCORING_BATCH,
                  shards: int | None = None, timeout_ms: int | None = None, trigger: dict | None = None,
                  lemma_dict: DataFrame | None = None):
-    """Messages -> count-triggered batches -> prepared as in the batch job -> scores written per
-    micro-batch.  The number of shards belongs to the checkpoint (``fixed_shards``).  A run over what is available flushes its tail, so every message is scored.
+    """Messages -> intake (T1: cleaned as they come, with their state) -> count-triggered batches of cleaned texts ->
+    lemmatised as in the batch job -> scores written per micro-batch.  The number of shards belongs to the
+    checkpoint (``fixed_shards``).  A run over what is available flushes its tail, so every message is scored, and takes no
+    time-out; in a continuous run a message waits ``timeout_ms`` at most (``TIMEOUT_MS`` if none is given).
     Returns the started StreamingQuery."""
     trigger = trigger or {"availableNow": True}
+    ends = bool(trigger.get("availableNow") or trigger.get("once"))
+    if ends and timeout_ms is not None:
+        raise ValueError("a run over what is available flushes its tail: it takes no time-out")
     shards = fixed_shards(stream.sparkSession, checkpoint, shards)
-    batches = batch_by_count(stream, threshold, shards, timeout_ms, flush=timeout_ms is None and bool(trigger.get("availableNow") or trigger.get("once")))
+    cleaned = intake(stream, settings.pattern).select("id", F.col("clean_text").alias("text"), "state")
+    batches = batch_by_count(cleaned, threshold, shards, None if ends else timeout_ms or TIMEOUT_MS, flush=ends, carry=("state",))
     w = (batches.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: score_batch(df, bid, model, dictionary, settings, scores_path, lemma_dict)))
     return w.trigger(**trigger).start()

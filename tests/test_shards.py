@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from polarity.sources.files import read_messages
-from polarity.streaming.stream import SHARDS, batch_by_count, fixed_shards
+from polarity.streaming.batches import SHARDS, batch_by_count
+from polarity.streaming.stream import fixed_shards
 
 
 def test_number_is_stored_with_the_first_run(spark, tmp):

@@ -9,7 +9,8 @@ from polarity.operators.dictionary import build_dictionary
 from polarity.operators.svm import predict, train_svm
 from polarity.operators.vectors import score_space, vector_space
 from polarity.sources.files import read_messages
-from polarity.streaming.stream import batch_by_count, current_scores, intake, score_stream
+from polarity.streaming.batches import batch_by_count, count_batcher
+from polarity.streaming.stream import current_scores, intake, score_stream
 
 
 def _messages(tmp, n, name="in"):
@@ -122,26 +123,126 @@ def test_stream_equals_batch_job(spark, tmp):
     assert spark.read.parquet(out + "-errors").count() == 101
 
 
-def test_batch_numbers_go_on_after_a_time_out():
-    import pandas as pd
-    from polarity.streaming.stream import _count_batcher
+class _Shard:
+    """State and timers of one shard in memory; how often the waiting rows were read is counted."""
+
+    class _List:
+        def __init__(self):
+            self.kept, self.reads = [], 0
+
+        def get(self):
+            self.reads += 1
+            return iter(self.kept)
+
+        def appendList(self, rows):
+            self.kept = self.kept + rows
+
+        def clear(self):
+            self.kept = []
+
+    class _Value:
+        kept = None
 
-    class State:
-        exists, hasTimedOut, kept = False, False, None
+        def exists(self):
+            return self.kept is not None
 
-        @property
         def get(self):
             return self.kept
 
         def update(self, v):
-            self.exists, self.kept = True, v
+            self.kept = v
+
+    def __init__(self):
+        self.rows, self.place, self.timers, self.now = self._List(), self._Value(), set(), 0
+
+    def getListState(self, *_):
+        return self.rows
+
+    def getValueState(self, *_):
+        return self.place
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
 
-        def setTimeoutDuration(self, ms):
-            pass
+    def come(self, fn, n):
+        import pandas as pd
+        return [(b, s) for pdf in fn.handleInputRows((0,), [pd.DataFrame({"id": ["k"] * n, "text": ["t"] * n})], self) for b, s in zip(pdf["batch_no"], pdf["seq"])]
 
-    state, fn, seen = State(), _count_batcher(2, 10, False), []
-    for rows, late in ((3, False), (0, True), (1, False), (0, True)):
-        state.hasTimedOut = late
-        for pdf in fn((0,), [pd.DataFrame({"id": ["k"] * rows, "text": ["t"] * rows})], state):
-            seen += list(zip(pdf["batch_no"], pdf["seq"]))
-    assert seen == [(0, 0), (0, 1), (1, 2), (2, 3)]
+    def wait(self, fn, ms):
+        self.now += ms
+        out = []
+        for due in [t for t in self.timers if t <= self.now]:
+            self.timers.remove(due)
+            out += [(b, s) for pdf in fn.handleExpiredTimer((0,), self, None) for b, s in zip(pdf["batch_no"], pdf["seq"])]
+        return out
+
+
+def test_batch_numbers_go_on_after_a_time_out():
+    shard, fn = _Shard(), count_batcher(2, 10, False)
+    fn.init(shard)
+    assert shard.come(fn, 3) == [(0, 0), (0, 1)] and shard.wait(fn, 10) == [(1, 2)]
+    assert shard.come(fn, 1) == [] and shard.timers == {20} and shard.wait(fn, 9) == []
+    assert shard.come(fn, 1) == [(2, 3), (2, 4)] and not shard.timers       # a full batch leaves no timer
+    assert shard.wait(fn, 100) == [] and shard.place.kept[0] == 0
+
+
+def test_waiting_rows_are_read_only_when_a_batch_is_due():
+    shard, fn = _Shard(), count_batcher(100, None, False)
+    fn.init(shard)
+    for _ in range(99):
+        assert shard.come(fn, 1) == []
+    assert shard.rows.reads == 0 and shard.come(fn, 1) == [(0, i) for i in range(100)] and shard.rows.reads == 1
+
+
+def test_shard_without_new_rows_is_flushed_after_a_restart(spark, tmp):
+    """Rows wait without a full batch; the stream ends; a continuous run gets rows of another shard only."""
+    import time
+    src, ck, out = (os.path.join(tmp, n) for n in ("in", "ck", "out"))
+    os.makedirs(src)
+
+    def put(name, ids):
+        with open(os.path.join(src, name), "w") as f:
+            f.writelines(f"{i}\tтекст\n" for i in ids)
+
+    def until(done, seconds=90):
+        rows = batch_by_count(read_messages(spark, "text", src), 10, 4, 15_000)
+        q = (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .trigger(processingTime="1 second").start())
+        try:
+            end = time.time() + seconds
+            while not done(q) and time.time() < end:
+                time.sleep(0.2)
+        finally:
+            q.stop()
+
+    def written():
+        return spark.read.parquet(out).count() if any(n.endswith(".parquet") for n in os.listdir(out)) else 0
+    put("a.txt", ["a"] * 3)
+    until(lambda q: any(p["numInputRows"] for p in q.recentProgress))
+    assert written() == 0
+    shard = F.pmod(F.hash("id"), F.lit(4)).alias("shard")
+    of = {r["id"]: r["shard"] for r in spark.createDataFrame([(c,) for c in "abcdefghij"], "id string").select("id", shard).collect()}
+    other = [c for c in of if of[c] != of["a"]]
+    put("b.txt", other[:1] * 10)
+    until(lambda q: written() == 13)
+    rows = spark.read.schema("shard int, batch_no long, seq long, id string, text string").parquet(out)
+    assert {r["id"]: r["count"] for r in rows.groupBy("id").count().collect()} == {"a": 3, other[0]: 10}
+
+
+def test_messages_are_cleaned_before_they_wait(spark, tmp):
+    """P8 = T1 -> T2: what is released is the cleaned text and its state."""
+    src = os.path.join(tmp, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "m.txt"), "w") as f:
+        f.write("a\tодин, two - три!\nb\tlatin\nc\t\n")
+    cleaned = intake(read_messages(spark, "text", src)).select("id", F.col("clean_text").alias("text"), "state")
+    (batch_by_count(cleaned, 100, 2, flush=True, carry=("state",)).writeStream.format("memory").queryName("cleaned")
+     .option("checkpointLocation", os.path.join(tmp, "ck")).trigger(availableNow=True).start().awaitTermination())
+    assert {r["id"]: (r["text"], r["state"]) for r in spark.table("cleaned").collect()} == {
+        "a": ("один три", "ok"), "b": ("", "foreign"), "c": ("", "empty")}
