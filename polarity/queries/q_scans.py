@@ -1,5 +1,5 @@
 """Scans, filters, joins, sinks-as-tables and bookkeeping (S1-S4, S11, S13, F4, F5, J1, J2, J5,
-K2, K8, K12, K13, A6, A7, A12-A14, A19, O1, O4)."""
+K2, K8, K12, K13, A6, A7, A12-A14, A19, O1, O4, T4)."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from polarity.session import scratch_path
 from polarity.sources.sinks import append_corpus, write_corpus
 from polarity.sources.tables import (load_table, newest_date, ordered, scan_category, scan_labelled,
                                      scan_labelled_since, scan_queue, scan_unscored, table_size)
+from polarity.streaming.poll import poll_available
 
 NEWS = ("news", tb.NEWS_SQL)
 
@@ -47,6 +48,23 @@ def q_unscored_scan(spark, sf):
     return scan_unscored(_news(spark, sf), tb.WATERMARK).select("text_id", "date")
 
 
+@register("poll_stream", with_ctes(NEWS, select=(
+    f"SELECT text_id, date, CASE WHEN date < TIMESTAMP '{tb.WATERMARK}' OR date IS NULL THEN 0 ELSE 1 END AS batch FROM news WHERE temote IS NULL")))
+def q_poll_stream(spark, sf):
+    """T4: the news table polled as a stream, first as it was at the watermark, then whole, until nothing is new."""
+    out, days = scratch_path(spark, "polled"), [F.col("date").isNull() | (F.col("date") < F.lit(tb.WATERMARK).cast("timestamp_ntz"))]
+
+    def read(session):
+        news = _news(session, sf)
+        return news.where(days.pop()) if days else news
+
+    def handle(rows, batch):
+        rows.select("text_id", "date").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    poll_available(spark, read, handle, scratch_path(spark, "poll"))
+    return spark.read.schema("text_id long, date timestamp_ntz, batch int").parquet(out)
+
+
 @register("limited_scan", with_ctes(
     NEWS, select=(f"SELECT text_id, date FROM news WHERE temote IS NULL AND date >= TIMESTAMP '{tb.WATERMARK}' "
                   "ORDER BY date, text_id LIMIT 100")))
