@@ -58,3 +58,22 @@ def test_predict_has_no_cross_join(spark):
     v = vector_space(c, d, s)
     p = plan(predict(train_svm(v, d.count(), s), v.withColumnRenamed("doc_id", "guid"), "guid"))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+
+
+def test_terms_are_counted_within_rows(spark):
+    """No aggregation over the n-grams of texts whose key is theirs alone; equal keys are added up."""
+    p = plan(terms(tb.corpus(spark, SF), "doc_id", "text", S))
+    assert sum("HashAggregate(keys=[doc_id" in line and "ngram" in line for line in p.splitlines()) <= 2     # equal keys only
+    assert "(_n#" in p and "Window" in p
+    rows = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, "b b"), (None, "a"), (None, "a b"), (3, None), (4, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["ngram"], r["c"]) for r in terms(rows, "doc_id", "text", Settings(pattern=LETTER_WORD, ngram_size=2)).collect()}
+    assert got == {(1, "a", 3), (1, "b", 1), (1, "a b", 1), (1, "b a", 1), (2, "b", 2), (2, "b b", 1), (None, "a", 2), (None, "b", 1), (None, "a b", 1)}
+
+
+def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    from polarity import session
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id").cast("string")).alias("text")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "PARTITION_BYTES", max(1, session.path_bytes(spark, str(tmp_path / "t")) // 40))
+    assert session.partitions_for(t) >= 30
+    assert terms(t, "doc_id", "text", S).groupBy(F.spark_partition_id()).count().count() >= 30
