@@ -8,14 +8,9 @@ their first lines (by document, then line number).  A class enters the join with
 them and pass the length and the positional filter and an exact bound from 256-bit maps of their sets (a bit that one set lacks is a
 token that it lacks); their full token sets, read again from the documents, decide Jaccard similarity.
 
-A line is removed if an earlier line is similar to it, so each class needs one earlier similar class, not all of them.
-Candidates come in rounds, and a class that has found one leaves the later side:
-
-1. every class is held against the earliest class of each of its prefix tokens,
-2. those still open against the earliest class of each of 16 parts (by hash) of the tokens' classes,
-3. those still open against all earlier classes of their tokens: whatever is left is whole.
-
-So a family of near-equal lines costs a few rows a line, not a row a pair.
+All links are found: every pair of similar classes is confirmed once, so a class knows how many other classes it is similar to
+and the earliest of them.  A line is removed if an earlier line is similar to it.  Copies are not expanded into pairs; a family of
+many different near-equal lines costs a candidate a pair of its classes, which is what its links are.
 
 Defined results: null and empty texts have no lines; lines without words have no tokens, no links and
 stay; a null id orders before all others; rows that repeat an id are documents of their own (their
@@ -41,7 +36,6 @@ ship_by_value(__name__)
 PERCENT = 75
 SLOTS = 1 << 20
 _MAPS = ("m0", "m1", "m2", "m3")
-_PARTS = 16
 
 
 def line_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,15 +176,15 @@ def _drop(*tables: DataFrame) -> None:
         remove_path(t.sparkSession, table_path(t))
 
 
-def _earlier(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(class, earlier): every class that has an earlier similar class, with one of them."""
+def _links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(class, earlier, links): every class that is similar to others, with the earliest before it (or null) and their number."""
     # size and place of a token in one number: the index is the largest thing that is exchanged
     entry = (classes.select("class", "n", F.posexplode("prefix").alias("p", "token"))
              .select("token", "class", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("bigint")).alias("np")))
     # tokens of one class pair nobody; the others are few, so the whole index is exchanged once, and gone before the next step
-    low = write_table(entry.groupBy("token").agg(F.min("class").alias("low"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "low"), "line-low")
-    shared = write_table(entry.join(low, "token"), "line-shared")
-    _drop(low)
+    several = write_table(entry.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "line-several")
+    shared = write_table(entry.join(several, "token"), "line-shared")
+    _drop(several)
     ends = shared.select("class").distinct()
     asked = (classes.join(ends, "class", "left_semi")
              .groupBy(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
@@ -208,42 +202,24 @@ def _earlier(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         return ((100 * F.least(size(a), size(b)) >= percent * F.greatest(size(a), size(b)))
                 & ((100 + percent) * F.least(left(a), left(b)) >= percent * (size(a) + size(b))))
 
-    def links(rows):
-        """(class, earlier) of the similar ones of rows (u, unp, v, vnp), u before v."""
-        pairs = write_table(rows.filter((F.col("u") < F.col("v")) & fits(F.col("unp"), F.col("vnp"))).select("u", "v").distinct(), "line-pairs")
-        possible = write_table(_possible(pairs, maps, percent), "line-possible")
-        u, v = (sets.select(F.col("class").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("u", "v"))
-        found = write_table(_similar(possible.join(u, "u").join(v, "v"), percent).groupBy(F.col("v").alias("class")).agg(F.min("u").alias("earlier")), "line-links")
-        _drop(pairs, possible)
-        return found
-
-    side = [F.col("class").alias("v"), F.col("np").alias("vnp")]
-    later = shared.filter("class > low").select("token", "class", "np")
-    earliest = shared.filter("class = low").select("token", F.col("class").alias("u"), F.col("np").alias("unp"))
-    rounds = [links(later.select("token", *side).join(earliest, "token"))]
-    part = F.pmod(F.xxhash64("class"), F.lit(_PARTS))
-    firsts = write_table(later.groupBy("token", part.alias("part")).agg(F.min(F.struct("class", "np")).alias("low")), "line-firsts")
-    # the earliest class of a token is done with
-    for others in (firsts.select("token", F.col("low.class").alias("u"), F.col("low.np").alias("unp")),
-                   later.select("token", F.col("class").alias("u"), F.col("np").alias("unp"))):
-        closed = rounds[0].select("class")
-        for r in rounds[1:]:
-            closed = closed.union(r.select("class"))
-        still = write_table(later.join(closed, "class", "left_anti"), "line-open")
-        rounds.append(links(still.select("token", *side).join(others, "token")))
-        _drop(still)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.union(r)
-    out = write_table(out, "line-earlier")
-    _drop(shared, sets, firsts, *rounds)
+    u, v = (shared.select("token", F.col("class").alias(k), F.col("np").alias(f"{k}np")) for k in ("u", "v"))
+    pairs = write_table(u.join(v, "token").filter((F.col("u") < F.col("v")) & fits(F.col("unp"), F.col("vnp"))).select("u", "v").distinct(), "line-pairs")
+    possible = write_table(_possible(pairs, maps, percent), "line-possible")
+    _drop(shared, pairs)
+    u, v = (sets.select(F.col("class").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in ("u", "v"))
+    found = write_table(_similar(possible.join(u, "u").join(v, "v"), percent), "line-pairs-similar")
+    _drop(possible, sets)
+    both = (found.select(F.col("v").alias("class"), F.col("u").alias("earlier"))
+            .unionByName(found.select(F.col("u").alias("class"), F.lit(None).cast("bigint").alias("earlier"))))
+    out = write_table(both.groupBy("class").agg(F.min("earlier").alias("earlier"), F.count(F.lit(1)).alias("links")), "line-links")
+    _drop(found)
     return out
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per line that has words: id, file (its path's 64-bit hash), row, line (from 0), class_id (equal
-    for lines of equal sets; in order of the classes' first lines), n_tokens, n_copies (lines in the class), earlier_class (a class
-    similar to this one whose first line comes before this one's first; null if there is none), removed."""
+    for lines of equal sets; in order of the classes' first lines), n_tokens, n_copies (lines in the class), n_links (other classes
+    similar to this one), earlier_class (the earliest of them whose first line comes before this one's first; null if there is none), removed."""
     spark = docs.sparkSession
     placed = located(docs)
     file, row = placed.columns[-2:]
@@ -259,12 +235,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = write_table(grouped.repartitionByRange("first").sortWithinPartitions("first").withColumn("class", F.monotonically_increasing_id()), "line-classes")
     narrow = write_table(wide.select("id", "file", "row", "line", "n", "a", "b"), "line-places")
     _drop(wide)
-    earlier = _earlier(classes, texts, percent)
-    known = write_table(classes.select("a", "b", "class", "first", "copies").join(earlier, "class", "left"), "line-known")
-    _drop(classes, earlier)
+    linked = _links(classes, texts, percent)
+    known = write_table(classes.select("a", "b", "class", "first", "copies").join(linked, "class", "left"), "line-known")
+    _drop(classes, linked)
     return (narrow.join(known, ["a", "b"])
             .select("id", "file", "row", "line", F.col("class").alias("class_id"), F.col("n").alias("n_tokens"), F.col("copies").alias("n_copies"),
-                    F.col("earlier").alias("earlier_class"),
+                    F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.col("earlier").alias("earlier_class"),
                     (F.col("earlier").isNotNull() | (F.col("first") < F.struct("id", "file", "row", "line"))).alias("removed")))
 
 

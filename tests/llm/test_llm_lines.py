@@ -112,3 +112,21 @@ def test_removal(spark):
     left = drop_later_lines(docs)
     assert left.columns == docs.columns
     assert {r.doc_id: r.text for r in left.collect()} == want
+
+
+def test_every_link_is_counted(spark):
+    """A family of near lines: a class is linked with all similar classes, earlier and later ones, not with one of them."""
+    rng = random.Random(4)
+    base = prose(6, 60).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
+        rows.append((i, " ".join(w[rng.randint(0, 6):]), "s"))
+    got = similar_lines(as_docs(spark, rows)).collect()
+    sets = {r.class_id: shingles_of(rows[r.id][1]) for r in got}
+    want = {c: sorted(d for d in sets if d != c and 100 * len(sets[c] & sets[d]) >= 75 * len(sets[c] | sets[d])) for c in sets}
+    assert {r.class_id: r.n_links for r in got} == {c: len(x) for c, x in want.items()}
+    assert {r.class_id: r.earlier_class for r in got} == {c: min([d for d in x if d < c], default=None) for c, x in want.items()}
+    assert max(len(x) for x in want.values()) > 5
