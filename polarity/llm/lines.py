@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from polarity.llm.common import fresh_names, located, ship_by_value, text_or_empty
 from polarity.llm.shingles import group_shingles, hash_words, mix, shingle_sets, utf8
-from polarity.session import remove_path, table_path, write_table
+from polarity.session import remove_path, settings, table_path, write_table
 
 ship_by_value(__name__)
 
@@ -94,7 +94,8 @@ def token_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     sums = docs.select(text_col).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     rank = F.least(F.floor(2 * F.log2(F.col("n") + 1)), F.lit(127)).cast("tinyint")
-    told = sums.filter("n > 1").select("slot", rank.alias("rank")).toArrow()              # at most SLOTS rows of 5 bytes
+    with settings(docs.sparkSession):
+        told = sums.filter("n > 1").select("slot", rank.alias("rank")).toArrow()          # at most SLOTS rows of 5 bytes
     out = np.zeros(SLOTS, np.uint8)
     out[told["slot"].to_numpy()] = told["rank"].to_numpy()
     return out

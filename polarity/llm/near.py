@@ -146,10 +146,12 @@ def _sets(texts: DataFrame) -> DataFrame:
     """(node, n, shingles) of rows (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x.view(np.int64) for x in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["node", "n", "shingles"])
+            for start in range(0, batch.num_rows, 500):
+                nodes, part = batch.slice(start, 500).columns
+                sets = [x.view(np.int64) for x in shingle_sets(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                    names=["node", "n", "shingles"])
 
     kind = texts.schema["node"].dataType.simpleString()
     return texts.select("node", "text").mapInArrow(run, f"node {kind}, n bigint, shingles array<bigint>")

@@ -1,0 +1,42 @@
+"""Settings under which intermediate tables are written."""
+
+from __future__ import annotations
+
+import glob
+import os
+import time
+
+from polarity.session import settings, write_table
+
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for f in glob.glob(os.path.join(str(d), "**", "shuffle_*.data"), recursive=True)}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    kept = spark.range(1000).repartition(3, "id")
+    kept.write.format("noop").mode("overwrite").save()
+    assert shuffle_files(spark) - before                      # a plain write leaves them
+    before = shuffle_files(spark)
+    made = write_table(spark.range(1000).repartition(3, "id"), "cleaned")
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and made.count() == 1000
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get(CLEANUP, None), spark.conf.get(BATCH, None)
+    try:
+        with settings(spark):
+            assert (spark.conf.get(CLEANUP), spark.conf.get(BATCH)) == ("true", "4m")
+            raise KeyError
+    except KeyError:
+        pass
+    assert (spark.conf.get(CLEANUP, None), spark.conf.get(BATCH, None)) == before
