@@ -77,3 +77,25 @@ def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "PARTITION_BYTES", max(1, session.path_bytes(spark, str(tmp_path / "t")) // 40))
     assert session.partitions_for(t) >= 30
     assert terms(t, "doc_id", "text", S).groupBy(F.spark_partition_id()).count().count() >= 30
+
+
+def test_row_terms_slices_agree(spark, monkeypatch):
+    """A row's n-grams are the same however few words a task counts at once; words of a pattern with blanks add up."""
+    from polarity.operators import dictionary as dic
+    rows = spark.createDataFrame([(1, "a b a b", 2.5), (2, None, 1.0), (3, "", None), (4, "b", None), (5, "é é ü", 0.0)], "k long, text string, x double")
+    s = Settings(pattern=LETTER_WORD, ngram_size=3)
+
+    def told(s):
+        return {tuple(r) for r in dic.row_terms(rows, "k", "text", s, carry=("x",)).collect()}
+
+    whole = told(s)
+    assert whole == {(1, 2.5, "a", 2), (1, 2.5, "b", 2), (1, 2.5, "a b", 2), (1, 2.5, "b a", 1), (1, 2.5, "a b a", 1), (1, 2.5, "b a b", 1),
+                     (4, None, "b", 1), (5, 0.0, "é", 2), (5, 0.0, "ü", 1), (5, 0.0, "é é", 1), (5, 0.0, "é ü", 1), (5, 0.0, "é é ü", 1)}
+    assert dic.row_terms(rows, "k", "text", s).columns == ["k", "ngram", "c"]
+    assert "MapInArrow" in plan(dic.row_terms(rows, "k", "text", s))           # counted a batch at a time, not by lambdas
+    monkeypatch.setattr(dic, "TASK_WORDS", 2)
+    assert told(s) == whole
+    monkeypatch.undo()
+    blanks = Settings(pattern="[a-z]+( [a-z])?", ngram_size=2)                 # the word "a b" and the n-gram "a", "b"
+    assert {(r["ngram"], r["c"]) for r in dic.row_terms(spark.createDataFrame([(1, "a b,a,b")], "k long, text string"), "k", "text", blanks).collect()} == \
+        {("a b", 2), ("a", 1), ("b", 1), ("a b a", 1)}
