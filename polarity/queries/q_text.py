@@ -63,7 +63,7 @@ def q_target_map(spark, sf):
 def q_split_list(spark, sf):
     d = tb.table(spark, sf, "documents").select("doc_id", split_list("text", ".").alias("items"))
     return d.select("doc_id", F.size("items").alias("n_items"),
-                    F.coalesce(F.element_at("items", 1), F.lit("")).alias("first_item"))
+                    F.coalesce(F.get("items", F.lit(0)), F.lit("")).alias("first_item"))     # get: a text of separators alone has no item
 
 
 _K = _num_sql("split_part(props, ':', 2)")
